@@ -14,7 +14,9 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,6 +106,49 @@ def suspicious(c: Column) -> Column:
     return c.rlike(f"[^{PLAIN}]")
 
 
+def _byte_pairs() -> np.ndarray:
+    """By the first two bytes of a character in UTF-8: 1 where it is suspicious, 2 where the third byte tells."""
+    t = np.zeros(65536, np.uint8)
+    plain = re.compile(f"[{PLAIN}]")
+    for hi in range(0xC2, 0xE0):
+        for lo in range(0x80, 0xC0):
+            t[hi << 8 | lo] = not plain.match(chr((hi & 0x1F) << 6 | lo & 0x3F))
+    for hi in range(0xE0, 0xF0):
+        for lo in range(0x80, 0xC0):
+            n = [bool(plain.match(chr((hi & 0xF) << 12 | (lo & 0x3F) << 6 | x))) for x in range(64)]
+            t[hi << 8 | lo] = 0 if all(n) else 2 if any(n) else 1
+    t[0xF000:0xF800] = 1
+    return t
+
+
+_PAIRS = _byte_pairs()
+_THIRD = np.array([[not re.match(f"[{PLAIN}]", chr(0x2000 | k << 6 | x)) for x in range(64)] for k in range(64)])
+
+
+def odd_flags(column: pa.Array) -> list[bool]:
+    """suspicious() of each text of an Arrow column, from its bytes; no text is decoded."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    n = len(column)
+    if not n:
+        return []
+    wide = pa.types.is_large_string(column.type)
+    _, offs, data = column.buffers()
+    o = np.frombuffer(offs, np.int64 if wide else np.int32)[column.offset : column.offset + n + 1].astype(np.int64)
+    out = np.zeros(n, bool)
+    if data is None or o[-1] - o[0] < 2:
+        return out.tolist()
+    b = np.frombuffer(data, np.uint8)[o[0] : o[-1]]
+    kind = _PAIRS[b[:-1].astype(np.uint16) << np.uint16(8) | b[1:]]
+    at = np.flatnonzero(kind)
+    if len(at):
+        maybe = kind[at] == 2
+        third = b[np.minimum(at + 2, len(b) - 1)] & 0x3F
+        at = at[~maybe | (b[at] != 0xE2) | _THIRD[b[at + 1] & 0x3F, third]]
+        out[np.searchsorted(o - o[0], at, "right") - 1] = True
+    return out.tolist()
+
+
 def _apply(f):
     @F.pandas_udf("string")
     def g(it: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import confusables, neardup, ocr_repair
+from . import chunking, confusables, neardup, ocr_repair, splitleak
 
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -25,6 +25,15 @@ def p1_groups(spark, d):
     return r.withColumnRenamed("id", "label_id")
 
 
+def p2_found(spark, d):
+    return chunking.oversized(table(spark, d, "bench_labels"), "label_id", "full_text")
+
+
+def p2_pieces(spark, d):
+    """The pieces of every text, with their places in it."""
+    return chunking.pieces(table(spark, d, "bench_labels"), "label_id", "full_text")
+
+
 def p3_found(spark, d):
     return ocr_repair.damage_found(table(spark, d, "bench_labels"), "label_id", "full_text")
 
@@ -34,6 +43,15 @@ def p3_repaired(spark, d):
     return ocr_repair.repair_texts(table(spark, d, "bench_labels"), "label_id", "full_text")
 
 
+def p4_found(spark, d):
+    return splitleak.found(table(spark, d, "manifest_entries"), table(spark, d, "bench_labels"))
+
+
+def p4_report(spark, d):
+    """Overlapping val and test entries per split and source type."""
+    return splitleak.report(table(spark, d, "manifest_entries"), table(spark, d, "bench_labels"))
+
+
 _FIELDS = {"full_text": "full_text", "trich_yeu": "extraction.trich_yeu"}
 
 
@@ -55,7 +73,12 @@ def p5_groups(spark, d):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_groups, p3_found, p3_repaired, p5_found, p5_consistent, p5_groups)
+    for f in (p1_found, p1_groups, p2_found, p2_pieces, p3_found, p3_repaired, p4_found, p4_report, p5_found, p5_consistent, p5_groups)
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "p2_found": r"""
+        SELECT label_id, CAST(max(CASE WHEN length(run) > 2000 THEN 1 ELSE 0 END) AS BIGINT) AS forced
+        FROM (SELECT label_id, unnest(regexp_split_to_array(full_text, '\s')) AS run FROM bench_labels WHERE length(full_text) > 2000)
+        GROUP BY label_id""",
+}

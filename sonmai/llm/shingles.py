@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BARE_LETTERS, Cache, h64, mix, written
-from .confusables import consistent, suspicious
+from .confusables import consistent, odd_flags
 from .ocr_repair import clean_lines, is_scan
 
 K = 3
@@ -58,6 +58,11 @@ def tokens(text: str, odd: bool) -> list[str]:
     return text.split()
 
 
+def column_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """batch_features() of an Arrow column of texts."""
+    return batch_features(column.to_pylist(), odd_flags(column))
+
+
 def batch_features(texts: list[str | None], odd: list[bool]) -> tuple[np.ndarray, np.ndarray]:
     """The sorted distinct shingle hashes of many texts, end to end, and the offsets of each text's."""
     get = WORDS.__getitem__
@@ -109,8 +114,8 @@ def set_ids(h: np.ndarray, o: np.ndarray) -> np.ndarray:
 
 
 def read_features(df: DataFrame, text: str, *others: str) -> DataFrame:
-    """The columns (others…, text, odd) of the rows with a non-blank text, as batch_features() wants them."""
-    return df.where(F.length(F.trim(F.col(text))) > 0).select(*others, F.col(text).alias("text"), suspicious(F.col(text)).alias("odd"))
+    """The columns (others…, text) of the rows with a text."""
+    return df.where(F.col(text).isNotNull()).select(*others, F.col(text).alias("text"))
 
 
 def chunks(batches, size: int = 2000):
@@ -148,7 +153,7 @@ def profile(df: DataFrame, key: str, text: str, share: float) -> DataFrame:
         id_type = None
         for b in chunks(batches):
             id_type = b.schema.field(0).type
-            h, o = batch_features(b.column(1).to_pylist(), b.column(2).to_pylist())
+            h, o = column_features(b.column(1))
             fp = set_ids(h, o)
             new = np.zeros(len(fp), bool)
             for j, f in enumerate(fp.tolist()):
