@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunking, confusables, neardup, ocr_repair, splitleak
+from . import canonical, chunking, confusables, neardup, ocr_repair, splitleak, variants
 
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -71,9 +71,44 @@ def p5_groups(spark, d):
     return confusables.skeleton_groups(t, "v").select("consistent", "n_rows", "n_spellings")
 
 
+def _canonical(spark, d):
+    types = canonical.reference_rows(table(spark, d, "doc_type_ref"), "type_id", "name", "code")
+    agencies = canonical.reference_rows(table(spark, d, "agency_ref"), "agency_id", "name", "short_name")
+    fields = {"loai_van_ban": ("extraction.loai_van_ban", types, "type"), "co_quan_ban_hanh": ("extraction.co_quan_ban_hanh", agencies, "agency")}
+    known = {"loai_van_ban": {n for _, n, _ in types}, "co_quan_ban_hanh": {n for _, n, _ in agencies}}
+    return canonical.canonical_map(table(spark, d, "bench_labels"), "label_id", fields), known
+
+
+def p6_found(spark, d):
+    mapped, known = _canonical(spark, d)
+    exact = [(F.col("field") == f) & F.col("value").isin(sorted(n)) for f, n in known.items() if n]
+    for e in exact:
+        mapped = mapped.where(~e)
+    return mapped.select("label_id", "field", "ref_id")
+
+
+def p6_misses(spark, d):
+    """Values that fit no entry, with their numbers of rows."""
+    return canonical.misses(_canonical(spark, d)[0])
+
+
+def _entities(spark, d):
+    known = table(spark, d, "agency_ref").select(F.col("name").alias("value"))
+    return variants.entities(table(spark, d, "bench_labels"), {"co_quan_ban_hanh": "extraction.co_quan_ban_hanh"}, {"nguoi_ky": "extraction.nguoi_ky"}, known)
+
+
+def p7_found(spark, d):
+    return variants.linked(_entities(spark, d))
+
+
+def p7_entities(spark, d):
+    """Spellings and rows of each entity."""
+    return _entities(spark, d).groupBy("field", "entity").agg(F.count("*").alias("n_spellings"), F.sum("n").alias("n_rows"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_groups, p2_found, p2_pieces, p3_found, p3_repaired, p4_found, p4_report, p5_found, p5_consistent, p5_groups)
+    for f in (p1_found, p1_groups, p2_found, p2_pieces, p3_found, p3_repaired, p4_found, p4_report, p5_found, p5_consistent, p5_groups, p6_found, p6_misses, p7_found, p7_entities)
 }
 
 ORACLE: dict[str, str] = {
