@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import canonical, chunking, confusables, neardup, ocr_repair, splitleak, variants
+from . import abuse, canonical, chunking, confusables, evalleak, neardup, ocr_repair, splitleak, variants
 
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -106,9 +106,32 @@ def p7_entities(spark, d):
     return _entities(spark, d).groupBy("field", "entity").agg(F.count("*").alias("n_spellings"), F.sum("n").alias("n_rows"))
 
 
+def p9_found(spark, d):
+    return evalleak.found(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p9_report(spark, d):
+    """Leaked items and documents per evaluation split, task and source."""
+    return evalleak.report(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p10_found(spark, d):
+    return abuse.found(table(spark, d, "documents"), table(spark, d, "review_labels"))
+
+
+def p10_scores(spark, d):
+    """A score for each category of every document."""
+    return abuse.scores(table(spark, d, "documents"), table(spark, d, "review_labels"))
+
+
+def p10_rates(spark, d):
+    """Rates of flagged documents per source."""
+    return abuse.rates(table(spark, d, "documents"), table(spark, d, "review_labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_groups, p2_found, p2_pieces, p3_found, p3_repaired, p4_found, p4_report, p5_found, p5_consistent, p5_groups, p6_found, p6_misses, p7_found, p7_entities)
+    for f in (p1_found, p1_groups, p2_found, p2_pieces, p3_found, p3_repaired, p4_found, p4_report, p5_found, p5_consistent, p5_groups, p6_found, p6_misses, p7_found, p7_entities, p9_found, p9_report, p10_found, p10_scores, p10_rates)
 }
 
 ORACLE: dict[str, str] = {
