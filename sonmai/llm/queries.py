@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import abuse, canonical, chunking, confusables, evalleak, neardup, ocr_repair, splitleak, variants
+from . import abuse, bpe, canonical, chunking, confusables, evalleak, neardup, ocr_repair, splitleak, variants
 
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -106,6 +106,17 @@ def p7_entities(spark, d):
     return _entities(spark, d).groupBy("field", "entity").agg(F.count("*").alias("n_spellings"), F.sum("n").alias("n_rows"))
 
 
+def p8_ids(spark, d):
+    return bpe.encode(table(spark, d, "documents"))
+
+
+def p8_roundtrip(spark, d):
+    """Whether decoding gives each text back, with its number of ids."""
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    back = bpe.decode(bpe.encode(docs))
+    return back.join(docs, "doc_id").select("doc_id", F.size("ids").alias("n_ids"), (F.col("decoded") == F.col("text")).alias("same"))
+
+
 def p9_found(spark, d):
     return evalleak.found(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -131,7 +142,7 @@ def p10_rates(spark, d):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_groups, p2_found, p2_pieces, p3_found, p3_repaired, p4_found, p4_report, p5_found, p5_consistent, p5_groups, p6_found, p6_misses, p7_found, p7_entities, p9_found, p9_report, p10_found, p10_scores, p10_rates)
+    for f in (p1_found, p1_groups, p2_found, p2_pieces, p3_found, p3_repaired, p4_found, p4_report, p5_found, p5_consistent, p5_groups, p6_found, p6_misses, p7_found, p7_entities, p8_ids, p8_roundtrip, p9_found, p9_report, p10_found, p10_scores, p10_rates)
 }
 
 ORACLE: dict[str, str] = {
