@@ -251,7 +251,7 @@ def prompt(template: str, **columns: Column) -> Column:
 
 def size_label(c: Column) -> Column:
     """Kilobytes with one decimal."""
-    return F.concat(F.format_string("%.1f", c / 1024), F.lit(" KB"))
+    return F.concat(F.round(c / 1024, 1).cast("string"), F.lit(" KB"))
 
 
 def duration_label(c: Column) -> Column:

@@ -12,8 +12,12 @@ LOGS = "log_id long, document_id long, stage string, status string, message stri
 
 
 def read_logs(spark: SparkSession, path: str, schema: str = LOGS, files_per_batch: int = 64) -> DataFrame:
-    """T-3: log files as they arrive."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    """T-3: log files as they arrive in a folder; a path of one file stands for that file of its folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    r = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile():
+        return r.option("pathGlobFilter", at.getName()).parquet(at.getParent().toString())
+    return r.parquet(path)
 
 
 def stage_windows(logs: DataFrame, every: str = "1 day", late: str = "30 days", at: str = "created_at") -> DataFrame:
