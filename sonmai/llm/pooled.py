@@ -19,6 +19,15 @@ class Pooled:
         self.values: list[int] = []
         self.start: list[int] = []
         self.size: list[int] = []
+        self.held = [np.empty(0, self.dtype), np.empty(0, np.int64), np.empty(0, np.int64)]
+
+    def _tables(self) -> list[np.ndarray]:
+        """The three lists as arrays; only what is new is converted."""
+        for i, (x, t) in enumerate(((self.values, self.dtype), (self.start, np.int64), (self.size, np.int64))):
+            n = len(self.held[i])
+            if len(x) > n:
+                self.held[i] = np.concatenate([self.held[i], np.array(x[n:], dtype=t)])
+        return self.held
 
     def _add(self, token: str) -> int:
         w = self.words(token)
@@ -35,8 +44,7 @@ class Pooled:
         parts = [np.fromiter(map(get, t), np.int64, len(t)) for t in ((x.split() if x else ()) for x in texts)]
         n = np.array([len(p) for p in parts], dtype=np.int64)
         token = np.concatenate(parts) if parts else np.empty(0, np.int64)
-        start, size = np.array(self.start, dtype=np.int64), np.array(self.size, dtype=np.int64)
-        values = np.array(self.values, dtype=self.dtype)
+        values, start, size = self._tables()
         k = size[token] if len(token) else np.empty(0, np.int64)
         first = np.cumsum(k) - k
         at = np.repeat(start[token] - first if len(token) else first, k) + np.arange(int(k.sum()))
