@@ -69,19 +69,16 @@ def keys(e: np.ndarray) -> np.ndarray:
     return out
 
 
-def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
-    if np.array_equal(a, b):
-        return 0
-    a, b = a.tolist(), b.tolist()
-    one = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            row.append(min(one[j] + 1, row[-1] + 1, one[j - 1] + (x != y)))
-        if min(row) > most:
-            return most + 1
-        one = row
-    return one[-1]
+def edit_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The exact edit distances in words of pairs of windows (rows of a and b), all pairs at once."""
+    n, k, m = len(a), a.shape[1], b.shape[1]
+    row = [np.full(n, j, np.int32) for j in range(m + 1)]
+    for i in range(1, k + 1):
+        new = [np.full(n, i, np.int32)]
+        for j in range(1, m + 1):
+            new.append(np.minimum(np.minimum(row[j], new[-1]) + 1, row[j - 1] + (a[:, i - 1] != b[:, j - 1])))
+        row = new
+    return row[m]
 
 
 class Items:
@@ -139,18 +136,19 @@ class Items:
                 at = use[lo : lo + 50_000]
                 w = np.lib.stride_tricks.sliding_window_view(x, n)[at]
                 k = keys(embed(w))
-                met = set()
+                pairs = [np.empty((0, 2), np.int64)]
                 for r in range(REPEATS):
                     a, b = np.searchsorted(self.keys[r], k[r], "left"), np.searchsorted(self.keys[r], k[r], "right")
-                    for i in np.flatnonzero(b > a).tolist():
-                        met.update((i, int(q)) for q in self.order[r, a[i] : b[i]])
-                if met:
-                    m = np.array(sorted(met))
-                    same = (w[m[:, 0]] == self.windows[m[:, 1]]).all(1)
-                    for (i, q), eq in zip(m.tolist(), same.tolist()):
-                        d = 0 if eq else edit_distance(w[i], self.windows[q], self.edits)
-                        if d <= self.edits:
-                            got.append((int(doc[at[i]]), int(self.owner[q]), d))
+                    m = b - a
+                    first = np.repeat(a, m) + np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
+                    pairs.append(np.stack([np.repeat(np.arange(len(m)), m), self.order[r, first]], 1))
+                met = np.concatenate(pairs)
+                met = np.unique(met[:, 0] * len(self.windows) + met[:, 1])
+                for s in range(0, len(met), 100_000):
+                    i, q = np.divmod(met[s : s + 100_000], len(self.windows))
+                    d = edit_distances(w[i], self.windows[q])
+                    near = d <= self.edits
+                    got += zip(doc[at[i[near]]].tolist(), self.owner[q[near]].tolist(), d[near].tolist())
         return got
 
     def _short(self, x, doc, pair, m, items):
