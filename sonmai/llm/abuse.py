@@ -37,6 +37,8 @@ OTHERS = 0.3  # weight of the texts flagged for other categories in the referenc
 DRIFT = 0.35
 LOWEST, HIGHEST = -2.0, 5.0  # log-odds are kept within
 RANGE = 1 << 14
+CALM_WEIGHT = 5.0  # how much rarer than in the corpus unflagged texts are among the judged ones
+LEAST = math.log(100)  # no passage counts that chance gives once in a hundred texts
 
 _LEET = str.maketrans("@01345$!", "aoieassi")
 _APART = re.compile(r"[^\W_](?:[.\-*_·][^\W_])+[.,!?;:]*$")
@@ -309,15 +311,16 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
 
 def best_cut(e: np.ndarray, y: np.ndarray) -> float:
-    """The cut of the greatest F1 on held-out labels, in the middle of its gap; infinite without positives."""
+    """The cut of the greatest F1 on held-out labels, in the middle of its gap, where each unflagged text stands for
+    CALM_WEIGHT, as flagged ones are over-represented among the judged; infinite without positives."""
     if not y.any():
         return math.inf
     order = np.argsort(-e, kind="stable")
     tp = np.cumsum(y[order])
-    f1 = 2 * tp / (np.arange(1, len(e) + 1) + y.sum())
+    f1 = 2 * tp / (tp + CALM_WEIGHT * np.cumsum(~y[order]) + y.sum())
     at = int(f1.argmax())
     below = e[order[at + 1]] if at + 1 < len(e) else e[order[at]] - 2
-    return float((e[order[at]] + below) / 2)
+    return max(LEAST, float((e[order[at]] + below) / 2))
 
 
 def scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), model: Model | None = None) -> DataFrame:
