@@ -73,7 +73,7 @@ def without_document(chunks: DataFrame, doc_id: object, key: str = "doc_id") ->
 def merged_chunk_results(results: DataFrame, scalars: tuple[str, ...], lists: tuple[str, ...] = (), key: str = "doc_id", order: str = "chunk_index") -> DataFrame:
     """One result per document from those of its chunks: the first filled scalars, lists joined in order without repeats."""
     agg = [F.min_by(F.col(s), F.when(F.trim(text(F.col(s))) != "", F.col(order))).alias(s) for s in scalars]
-    agg += [F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(order, l))), lambda x, l=l: x[l]))).alias(l) for l in lists]
+    agg += [F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), F.col(l).alias("v")))), lambda x: x["v"]))).alias(l) for l in lists]
     return results.groupBy(key).agg(*agg)
 
 

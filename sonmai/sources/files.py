@@ -106,7 +106,8 @@ def pages(files: DataFrame, reader: Callable[[bytes], list[dict]], schema: str)
                     rows += [{"path": path, "error": None, **r} for r in reader(content)]
                 except Exception as e:  # noqa: BLE001
                     rows.append({"path": path, "error": f"{type(e).__name__}: {e}"[:500]})
-            yield pd.DataFrame(rows, columns=["path", "error", *names])
+            out = pd.DataFrame([[r.get(c) for c in ("path", "error", *names)] for r in rows], columns=["path", "error", *names], dtype="object")
+            yield out.where(out.notna(), None)
 
     return files.select("path", "content").mapInPandas(run, f"path string, error string, {schema}")
 

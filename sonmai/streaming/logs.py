@@ -20,9 +20,12 @@ def read_logs(spark: SparkSession, path: str, schema: str = LOGS, files_per_batc
     return r.parquet(path)
 
 
-def stage_windows(logs: DataFrame, every: str = "1 day", late: str = "30 days", at: str = "created_at") -> DataFrame:
-    """T-3: rows and seconds per stage and window of event time; rows later than the watermark are left out of a stream."""
-    t = logs.withWatermark(at, late) if logs.isStreaming else logs
+def stage_windows(logs: DataFrame, every: str = "1 day", late: str | None = "30 days", at: str = "created_at") -> DataFrame:
+    """T-3: rows and seconds per stage and window of event time; rows later than the watermark are left out of a stream.
+
+    late is None for a stream that has its watermark already.
+    """
+    t = logs.withWatermark(at, late) if logs.isStreaming and late else logs
     g = t.groupBy(F.window(at, every).alias("w"), "stage").agg(F.count("*").alias("n"), F.sum("duration").alias("seconds"))
     return g.select(F.col("w.start").alias("window_start"), "stage", "n", "seconds")
 
@@ -32,9 +35,9 @@ def once(logs: DataFrame, late: str = "30 days", at: str = "created_at") -> Data
     return logs.withWatermark(at, late).dropDuplicatesWithinWatermark(["log_id", at]) if logs.isStreaming else logs.dropDuplicates(["log_id", at])
 
 
-def sessions(logs: DataFrame, gap: str = "1 hour", late: str = "30 days", key: str = "document_id", at: str = "created_at") -> DataFrame:
-    """Sessions of a key's rows."""
-    t = logs.withWatermark(at, late) if logs.isStreaming else logs
+def sessions(logs: DataFrame, gap: str = "1 hour", late: str | None = "30 days", key: str = "document_id", at: str = "created_at") -> DataFrame:
+    """Sessions of a key's rows; late as above."""
+    t = logs.withWatermark(at, late) if logs.isStreaming and late else logs
     g = t.groupBy(F.session_window(at, gap).alias("w"), key).agg(F.count("*").alias("n"))
     return g.select(key, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
 
