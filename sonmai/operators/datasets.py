@@ -24,13 +24,19 @@ def split(key: Column, shares: tuple[tuple[str, int], ...] = (("train", 80), ("v
     return out.otherwise(shares[-1][0])
 
 
-def split_exact(df: DataFrame, key: str, cuts: tuple[float, float] = (0.8, 0.9), seed: int = 42) -> DataFrame:
-    """Splits of exact sizes: rows in the order of their hashes, ranked within hash ranges and offset by the ranges before, so that no task holds all rows."""
+def numbered(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
+    """Adds _r, the numbers 1 to n in the order of the key's hash, and _all, n: rows are ranked within 256 hash ranges and offset by the ranges before, so that no task holds all of them."""
     h = df.withColumn("_h", F.md5(F.concat_ws("|", F.lit(seed), F.col(key)))).withColumn("_b", F.substring("_h", 1, 2))
     sizes = h.groupBy("_b").agg(F.count("*").alias("_n"))
     w = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # 256 rows at most
     before = sizes.select("_b", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
-    r = h.join(F.broadcast(before), "_b").withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy("_h", key)) + F.col("_off"))
+    ranked = F.row_number().over(Window.partitionBy("_b").orderBy("_h", key)) + F.col("_off")
+    return h.join(F.broadcast(before), "_b").withColumn("_r", ranked).select(*df.columns, "_r", "_all")
+
+
+def split_exact(df: DataFrame, key: str, cuts: tuple[float, float] = (0.8, 0.9), seed: int = 42) -> DataFrame:
+    """Splits of exact sizes, rows in the order of their hashes."""
+    r = numbered(df, key, seed)
     name = F.when(F.col("_r") <= F.floor(F.col("_all") * cuts[0]), "train").when(F.col("_r") <= F.floor(F.col("_all") * cuts[1]), "val").otherwise("test")
     return r.withColumn("split", name).select(*df.columns, "split")
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import metrics as M
 from ..functions.dates import comparable_value
 from ..functions.text import strip, text
+from .datasets import numbered
 
 STATUSES = ("both_empty", "missed", "extra", "correct", "wrong")
 
@@ -141,14 +142,14 @@ def run_summary(runs: DataFrame, seconds: str = "duration", status: str = "statu
 def bootstrap_hashed(df: DataFrame, key: str, value: str, iterations: int = 200, confidence: float = 0.95, seed: int = 42) -> DataFrame:
     """Percentile interval of the mean by resampling with hashes, the same on any engine.
 
-    A row's number in a resample is a draw of its own from the hash of iteration and place, so the resamples are one
-    narrow pass and two aggregates; rows are numbered by key.
+    A place of a resample draws a row by the hash of iteration and place, so the draws are a narrow pass; rows are numbered
+    in the order of their keys' hashes.
     """
-    t = df.where(F.col(value).isNotNull()).select(F.row_number().over(Window.orderBy(key)).alias("i"), F.col(value).cast("double").alias("v"))  # metric rows: documents of a benchmark
-    n = t.agg(F.count("*").alias("n"))
-    draws = t.crossJoin(F.broadcast(n)).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(iterations))))
+    t = numbered(df.where(F.col(value).isNotNull()).select(F.col(key).alias("key"), F.col(value).cast("double").alias("v")), "key", seed)
+    t = t.select(F.col("_r").alias("i"), F.col("_all").alias("n"), "v")
+    draws = t.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(iterations))))
     at = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("b"), F.col("i"))), 1, 12), 16, 10).cast("long"), F.col("n")) + 1
-    picked = draws.select("b", at.alias("i")).join(t, "i")
+    picked = draws.select("b", at.alias("i")).join(t.select("i", "v"), "i")
     means = picked.groupBy("b").agg(F.avg("v").alias("m"))
     lo, hi = (1 - confidence) / 2, (1 + confidence) / 2
     return means.agg(F.percentile("m", F.lit(lo)).alias("lower"), F.percentile("m", F.lit(hi)).alias("upper"), F.count("*").alias("iterations"))

@@ -555,7 +555,7 @@ def stage_throughput(spark, d):
     return t.groupBy("stage").agg(F.min(F.when(F.col("upto") >= F.floor(F.col("all") / 2) + 1, F.col("duration"))).alias("upper_median"), F.round(60.0 * F.sum("n") / F.sum(F.col("duration") * F.col("n")), 6).alias("per_minute"))
 
 
-@query("""WITH t AS (SELECT row_number() OVER (ORDER BY id) AS i, ocr_confidence AS v FROM extraction_results WHERE ocr_confidence IS NOT NULL), n AS (SELECT count(*) AS n FROM t),
+@query("""WITH t AS (SELECT row_number() OVER (ORDER BY md5('42|' || id), id) AS i, ocr_confidence AS v FROM extraction_results WHERE ocr_confidence IS NOT NULL), n AS (SELECT count(*) AS n FROM t),
     p AS (SELECT b.b AS b, ('0x' || md5('42|' || b.b || '|' || t.i)[1:12])::BIGINT % n.n + 1 AS i FROM t, n, range(1, 101) b(b)), m AS (SELECT p.b, avg(t.v) AS m FROM p JOIN t USING (i) GROUP BY p.b)
     SELECT round(quantile_cont(m, 0.025), 6) AS lower, round(quantile_cont(m, 0.975), 6) AS upper, count(*) AS iterations FROM m""")
 def bootstrap_ci(spark, d):
