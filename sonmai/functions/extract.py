@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,13 +52,21 @@ def _first(c: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(c, pattern, group), F.lit(""))
 
 
+def let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f uses it; branches of CASE don't share their parts otherwise."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
 def kind_by_search(c: Column) -> Column:
     """The first kind, in the order of SEARCHED, that the text contains."""
-    low = F.lower(c)
-    out = F
-    for k in SEARCHED:
-        out = out.when(low.contains(k.lower()), k)
-    return out.otherwise(OTHER)
+
+    def first(low: Column) -> Column:
+        out = F
+        for k in SEARCHED:
+            out = out.when(low.contains(k.lower()), k)
+        return out.otherwise(OTHER)
+
+    return let(F.lower(c), first)
 
 
 def number_by_search(c: Column) -> Column:
@@ -171,11 +181,15 @@ def clean_signer(c: Column) -> Column:
     for p in OFFICES:
         t = strip(F.regexp_replace(t, r"(?iU)^\s*" + p + r"\s*", ""))
     t = strip(F.regexp_replace(t, r"(?iU)(?:Ký bởi:|Ngày ký:|Ký số bởi)[^\n]*", ""))
-    n = F.size(F.split(F.regexp_replace(t, r"(?U)\s+", " "), " "))
-    body = F.lit(False)
-    for k in BODY_WORDS:
-        body = body | t.contains(k)
-    return F.when((n >= 2) & (n <= 6) & (F.length(t) <= 50) & ~t.rlike(r"\d") & ~body, t).otherwise("")
+
+    def person(t: Column) -> Column:
+        n = F.size(F.split(F.regexp_replace(t, r"(?U)\s+", " "), " "))
+        body = F.lit(False)
+        for k in BODY_WORDS:
+            body = body | t.contains(k)
+        return F.when((n >= 2) & (n <= 6) & (F.length(t) <= 50) & ~t.rlike(r"\d") & ~body, t).otherwise("")
+
+    return let(t, person)
 
 
 def repaired_number(c: Column) -> Column:

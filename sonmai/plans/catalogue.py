@@ -206,8 +206,11 @@ def regex_extract(spark, d):
 @query()
 def extract_fields(spark, d):
     """Search, enrichment from the text, validation and header override in their order."""
-    t = table(spark, d, "bench_labels").select("label_id", T.domain_corrections(T.postprocess(F.col("full_text"))).alias("x"))
-    t = t.withColumn("e", X.by_search(F.col("x"))).withColumn("e", X.enriched(F.col("e"), F.col("x"))).withColumn("e", X.validated(F.col("e"))).withColumn("e", X.header_override(F.col("e"), F.col("x")))
+    t = table(spark, d, "bench_labels").select("label_id", F.explode(F.array(T.domain_corrections(T.postprocess(F.col("full_text"))))).alias("x"))
+    # a generator after each stage keeps the optimizer from merging the stages, which would compute each field's rules once per use
+    for stage in (lambda e, x: X.by_search(x), X.enriched, lambda e, x: X.validated(e), X.header_override):
+        e = F.col("e") if "e" in t.columns else None
+        t = t.select("label_id", "x", F.explode(F.array(stage(e, F.col("x")))).alias("e"))
     return t.select("label_id", "e.*")
 
 
