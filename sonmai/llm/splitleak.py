@@ -1,14 +1,11 @@
-"""Same or near-same records across splits: weighted cosine join.
+"""Same or near-same records across splits: exact Jaccard join.
 
-Method: each text is a vector of its word shingles, weighted by their rarity in the corpus and of unit length. Inverted
-lists hold only the features a vector needs: in the order of falling weight, those before the rest's norm drops below the
-threshold (what is left then can't reach it alone, as the other vector's norm is 1). Pairs of train and evaluation vectors
-that meet in a list add up the products of their weights; pairs whose sum plus the product of both rests' norms stays below
-the threshold are pruned; the others get their exact dot product and the exact Jaccard similarity of whole texts.
+Method: prefixes of the texts' word shingles, the rare ones first (`jaccard.py`); train and evaluation texts that share
+enough of them get the exact Jaccard similarity of whole texts. Every pair at or above the threshold is found.
 
-Scale: equal texts are one vector. Lists and partial sums travel as packed columns. Lists of more than HOT members are
-joined in blocks. What is collected are the features in more than a fixed share of texts, at most the mean text's features
-divided by that share.
+Scale: equal texts are one set within each task. Blocks of train and of evaluation texts meet pairwise, which is quadratic
+in the distinct texts. What is collected are the features in more than a fixed share of texts, at most the mean text's
+features divided by that share.
 
 Defined results: NULL splits and hashes match nothing; case and outer blanks of splits and the case of hashes don't count.
 Rows repeated in full count once. Blank and NULL texts match nothing. Empty tables give no rows.
@@ -21,180 +18,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, written
+from .common import written
+from .jaccard import EVAL, TRAIN, candidates
 from .shingles import chunks, column_features, frequent_features, in_sorted, narrow, profile, read_features, set_ids
 
-COSINE = 0.52  # no pair of texts of Jaccard similarity 0.55 or more lies lower
 JACCARD = 0.55
-SHARE = 5e-4  # features in a smaller share of the texts all have the greatest weight
-POWER = 3
-HOT = 128
-TRAIN, EVAL = 1, 2
+SHARE = 5e-4  # features in a smaller share of the texts are of one rank
 
 
-def weights(v: np.ndarray, known: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """The weight of each feature: the inverse document frequency's power, the greatest for features that aren't known."""
-    top = np.float64(np.log(1 / SHARE) ** POWER)
-    if not len(known):
-        return np.full(len(v), top)
-    at = np.searchsorted(known, v)
-    at[at == len(known)] = 0
-    return np.where(known[at] == v, weight[at], top)
+def cross_pairs(df: DataFrame, text: str, side: str, known: np.ndarray, counts: np.ndarray, jaccard: float = JACCARD) -> DataFrame:
+    """(a, b, jaccard): pairs of set ids of a train and an evaluation text. df: text and side (1 train, 2 evaluation, 3 both)."""
+    return exact(df, text, written(candidates(df, text, known, counts, jaccard, side), "candidates"), jaccard)
 
 
-def prefixes(v: np.ndarray, o: np.ndarray, w: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(feature, index of its vector, normalized weight) of what the inverted lists hold."""
-    n = np.diff(o)
-    doc = np.repeat(np.arange(len(n)), n)
-    norm2 = np.bincount(doc, w * w, minlength=len(n))
-    u = w / np.sqrt(norm2[doc])
-    order = np.lexsort((v, -w, doc))  # one order of features for all vectors: weight, then hash
-    v, u = v[order], u[order]
-    c = np.cumsum(u * u)
-    before = c - u * u
-    before -= np.r_[0.0, c][o[:-1]][doc]
-    keep = 1 - before >= least * least - 1e-9
-    return v[keep], doc[keep], u[keep]
-
-
-def _blobs(part: np.ndarray, *columns: np.ndarray):
-    order = np.argsort(part, kind="stable")
-    part = part[order]
-    columns = [c[order] for c in columns]
-    at = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.empty(0, np.int64)
-    ends = np.r_[at[1:], len(part)]
-    return pa.RecordBatch.from_arrays([pa.array(part[at].astype(np.int32)), pa.array([b"".join(c[a:b].tobytes() for c in columns) for a, b in zip(at, ends)], pa.binary())], ["part", "blob"])
-
-
-def _unpack(batches, *types):
-    width = sum(np.dtype(t).itemsize for t in types)
-    got = [[] for _ in types]
-    for batch in batches:
-        for blob in batch.column(1).to_pylist():
-            n, at = len(blob) // width, 0
-            for g, t in zip(got, types):
-                g.append(np.frombuffer(blob, t, n, at))
-                at += n * np.dtype(t).itemsize
-    return [np.concatenate(g) if g else np.empty(0, t) for g, t in zip(got, types)]
-
-
-def _meet(f, fp, u, side):
-    """Products of train and evaluation members of each list, summed by pair; and the members of lists that are too long."""
-    if not len(f):
-        e = np.empty(0, np.int64)
-        return e, e, np.empty(0, np.float32), f, fp, u, side
-    order = np.lexsort((fp, f))
-    f, fp, u, side = f[order], fp[order], u[order], side[order]
-    new = np.r_[True, (f[1:] != f[:-1]) | (fp[1:] != fp[:-1])]
-    side = np.bitwise_or.reduceat(side, np.flatnonzero(new))  # equal texts in both splits are one vector of both
-    f, fp, u = f[new], fp[new], u[new]
-    start = np.flatnonzero(np.r_[True, f[1:] != f[:-1]])
-    n = np.diff(np.r_[start, len(f)])
-    a, b, p = [], [], []
-    for k in np.unique(n[(n > 1) & (n <= HOT)]).tolist():
-        i, j = np.triu_indices(k, 1)
-        s = start[n == k]
-        for lo in range(0, len(s), max(1, 2_000_000 // len(i))):
-            at = s[lo : lo + max(1, 2_000_000 // len(i))]
-            x, y = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
-            cross = (side[x] | side[y]) == (TRAIN | EVAL)
-            x, y = x[cross], y[cross]
-            a.append(fp[x])
-            b.append(fp[y])
-            p.append((u[x] * u[y]).astype(np.float32))
-    hot = np.repeat(n > HOT, n)
-    a = np.concatenate(a) if a else np.empty(0, np.int64)
-    b = np.concatenate(b) if b else np.empty(0, np.int64)
-    return (*_sums(a, b, np.concatenate(p) if p else np.empty(0, np.float32)), f[hot], fp[hot], u[hot], side[hot])
-
-
-def _sums(a, b, p):
-    if not len(a):
-        return a, b, p
-    order = np.lexsort((b, a))
-    a, b, p = a[order], b[order], p[order]
-    s = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-    return a[s], b[s], np.add.reduceat(p.astype(np.float64), s).astype(np.float32)
-
-
-def cross_pairs(df: DataFrame, text: str, side: str, known: np.ndarray, weight: np.ndarray, rows: int, least: float = COSINE, jaccard: float = JACCARD) -> DataFrame:
-    """(a, b, cosine, jaccard): pairs of set ids of a train and an evaluation text. df: text and side (1 train, 2 evaluation, 3 both)."""
-    table = df.sparkSession.sparkContext.broadcast((known, weight))
-    parts = max(8, min(20_000, rows // 1500 + 1))
-    spread = max(4, min(parts, rows // 12_000 + 4))
-
-    def post(batches):
-        k, w = table.value
-        held, size = [], 0
-
-        def out():
-            f, fp, u, sd = (np.concatenate(c) for c in zip(*held))
-            return _blobs(f.view(np.uint32) * np.uint32(2654435761) % np.uint32(parts), f, fp, u, sd)
-
-        seen: dict[int, int] = {}
-        for batch in chunks(batches):
-            h, o = column_features(batch.column(1))
-            fp, sd = set_ids(h, o), batch.column(0).to_numpy(zero_copy_only=False).astype(np.uint8)
-            new = np.zeros(len(fp), bool)
-            for i, x in enumerate(fp.tolist()):
-                if x and seen.get(x) != sd[i]:
-                    seen[x] = sd[i]
-                    new[i] = True
-            if len(seen) > 5_000_000:
-                seen.clear()
-            n = np.diff(o)
-            v = narrow(h[np.repeat(new, n)])
-            f, doc, u = prefixes(v, np.r_[0, np.cumsum(n[new])], weights(v, k, w), least)
-            held.append((f, fp[new][doc], u.astype(np.float32), sd[new][doc]))
-            size += len(f)
-            if size > 1_500_000:
-                yield out()
-                held, size = [], 0
-        if size:
-            yield out()
-
-    names = ["part", "blob", "f", "fp", "u", "side"]
-
-    def meet(batches):
-        a, b, p, f, fp, u, sd = _meet(*_unpack(batches, np.int32, np.int64, np.float32, np.uint8))
-        pair = _blobs((mix(a.view(np.uint64) ^ (b.view(np.uint64) << np.uint64(1))) % np.uint64(parts)).astype(np.int64), a, b, p)
-        none = lambda n, t: pa.nulls(n, t)
-        n = pair.num_rows
-        yield pa.RecordBatch.from_arrays([*pair.columns, none(n, pa.int32()), none(n, pa.int64()), none(n, pa.float32()), none(n, pa.int32())], names)
-        n = len(f)
-        yield pa.RecordBatch.from_arrays([none(n, pa.int32()), none(n, pa.binary()), pa.array(f), pa.array(fp), pa.array(u), pa.array(sd.astype(np.int32))], names)
-
-    rest = np.float32(least - least * least - 1e-4)  # a pair's sum over the lists that is too small even with both rests
-
-    def combine(batches):
-        a, b, p = _sums(*_unpack(batches, np.int64, np.int64, np.float32))
-        keep = p >= rest
-        yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
-
-    posted = read_features(df, text, side).mapInArrow(post, "part int, blob binary").repartition(spread, "part")
-    met = written(posted.mapInArrow(meet, "part int, blob binary, f int, fp long, u float, side int"), "lists")
-    cold = met.where("part IS NOT NULL").select("part", "blob")
-    hot = met.where("f IS NOT NULL").select("f", "fp", "u", "side")
-    if hot.isEmpty():
-        candidates = cold.repartition(spread, "part").mapInArrow(combine, "a long, b long")
-    else:
-        k = hot.groupBy("f").agg(F.ceil(F.count("*") / HOT).cast("int").alias("k"))
-        cells = hot.join(k, "f").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-        left = cells.select("f", F.col("fp").alias("a"), F.col("u").alias("ua"), F.col("side").alias("sa"), F.col("block").alias("i"), F.col("other").alias("j"))
-        right = cells.select("f", F.col("fp").alias("b"), F.col("u").alias("ub"), F.col("side").alias("sb"), F.col("other").alias("i"), F.col("block").alias("j"))
-        dense = left.join(right, ["f", "i", "j"]).where("a < b AND (sa | sb) = 3").select("a", "b", (F.col("ua") * F.col("ub")).alias("p"))
-
-        def rows_of(batches):
-            a, b, p = _unpack(batches, np.int64, np.int64, np.float32)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(p)], ["a", "b", "p"])
-
-        all_rows = cold.mapInArrow(rows_of, "a long, b long, p float").unionByName(dense)
-        candidates = all_rows.groupBy("a", "b").agg(F.sum("p").alias("p")).where(F.col("p") >= float(rest)).select("a", "b")
-    return exact(df, text, written(candidates, "candidates"), table, least, jaccard)
-
-
-def exact(df: DataFrame, text: str, candidates: DataFrame, table, least: float, jaccard: float) -> DataFrame:
-    """Exact dot product and Jaccard similarity of the candidate pairs. Texts of which no equal is a candidate aren't kept."""
+def exact(df: DataFrame, text: str, candidates: DataFrame, jaccard: float) -> DataFrame:
+    """Exact Jaccard similarity of the candidate pairs. Texts of which no equal is a candidate aren't kept."""
     wanted = candidates.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
 
     def cut(batches):
@@ -210,19 +48,16 @@ def exact(df: DataFrame, text: str, candidates: DataFrame, table, least: float,
     sets = written(sets, "sets")
 
     def compare(batches):
-        k, w = table.value
         for batch in batches:
-            cos, jac = [], []
+            jac = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 x, y = np.sort(np.frombuffer(x, np.int32)), np.sort(np.frombuffer(y, np.int32))
-                wx, wy = weights(x, k, w), weights(y, k, w)
                 both = in_sorted(x, y)
-                cos.append(float((wx[both] ** 2).sum() / np.sqrt((wx**2).sum() * (wy**2).sum())) if len(x) and len(y) else 0.0)
                 jac.append(float(both.sum() / (len(x) + len(y) - both.sum())) if len(x) else 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cos, pa.float64()), pa.array(jac, pa.float64())], ["a", "b", "cosine", "jaccard"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(jac, pa.float64())], ["a", "b", "jaccard"])
 
     two = candidates.join(sets.select(F.col("fp").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("s").alias("y")), "b")
-    return two.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, cosine double, jaccard double").where((F.col("cosine") >= least) & (F.col("jaccard") >= jaccard))
+    return two.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, jaccard double").where(F.col("jaccard") >= jaccard)
 
 
 def _clean(c: Column) -> Column:
@@ -250,12 +85,11 @@ def overlaps(manifest: DataFrame, labels: DataFrame, key: str = "label_id", text
     fps = prof.where("fp IS NOT NULL AND fp <> 0").select(F.col("id").alias("row"), "fp")
     n = fps.count()
     known, counts = frequent_features(prof, SHARE, n)
-    weight = np.log(1 / np.clip(counts / max(1, n), SHARE, 1.0)) ** POWER
     sides = e.where("stem IS NOT NULL").groupBy("stem").agg(F.bit_or("side").alias("side"))
     sided = labels.select(F.col(key).alias("row"), stem.alias("stem")).join(sides, "stem").join(fps, "row")
     sided = written(sided.select("row", "stem", "side", "fp"), "sided")
     use = rows.select("row", "text").join(sided.select("row", "side", "fp").hint("shuffle_hash"), "row")
-    pairs = written(cross_pairs(use, "text", "side", known, weight, n).select("a", "b"), "cross")
+    pairs = written(cross_pairs(use, "text", "side", known, counts).select("a", "b"), "cross")
     both = sided.groupBy("fp").agg(F.bit_or("side").alias("s")).where("s = 3").select(F.col("fp").alias("a"), F.col("fp").alias("b"))
     links = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(both)
     member = sided.select("stem", "fp").join(e.select("id", "side", "stem"), "stem")

@@ -119,3 +119,26 @@ def test_leaked_passages(spark):
     near = {(r.doc_id, r.edits) for r in evalleak.leaks(t, items).collect()}
     assert (3, 1) in near  # a substituted word
     assert evalleak.found(t.where("false"), items).count() == 0 and evalleak.found(t, items.where("false")).count() == 0
+
+
+def edited_versions(seed, n, words=300):
+    """A third of the rows are versions of one text, each with edits of its own in one place; the others share nothing."""
+    rng = random.Random(seed)
+    base = document(rng, words).split()
+    rows = []
+    for i in range(n):
+        if i % 3:
+            rows.append(document(rng, words))
+            continue
+        at = rng.randrange(words * 7 // 8)
+        rows.append(" ".join([*base[:at], *document(rng, words // 8).split(), *base[at + words // 8 :]]))
+    return [(i + 1, t) for i, t in enumerate(rows)]
+
+
+def test_overlaps_of_edited_versions_of_one_text(spark, labels):
+    rows = edited_versions(11, 150)
+    stem = {i: f"bench_{i:09d}" for i, _ in rows}
+    t = labels(rows).withColumn("filename", F.concat(F.lit("bench_"), F.lpad(F.col("label_id").cast("string"), 9, "0"), F.lit(".jpg")))
+    m = [(stem[i], "p", None, None, None, ("train", "test")[i % 2], "scan") for i, _ in rows]
+    want = {(stem[a], stem[b]) for a, b in brute(rows) if (a + b) % 2}
+    assert len(want) > 300 and {(r.id_a, r.id_b) for r in splitleak.found(manifest(spark, m), t).collect()} == want
