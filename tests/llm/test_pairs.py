@@ -142,3 +142,13 @@ def test_overlaps_of_edited_versions_of_one_text(spark, labels):
     m = [(stem[i], "p", None, None, None, ("train", "test")[i % 2], "scan") for i, _ in rows]
     want = {(stem[a], stem[b]) for a, b in brute(rows) if (a + b) % 2}
     assert len(want) > 300 and {(r.id_a, r.id_b) for r in splitleak.found(manifest(spark, m), t).collect()} == want
+
+
+def test_common_core_and_core_with_insertion(labels):
+    """A core that many texts hold, alone, and with insertions of a third and more: what the pairs share is frequent only."""
+    rng = random.Random(21)
+    core = document(rng, 120)
+    rows = [core, *(core + " " + document(rng, rng.randint(60, 95)) for _ in range(30)), *(document(rng, 150) for _ in range(60))]
+    rows = [(i + 1, t) for i, t in enumerate(rows)]
+    want = brute(rows)
+    assert sum(a == 1 for a, _ in want) > 20 and pairs(labels(rows)) == want
