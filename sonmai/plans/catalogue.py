@@ -740,7 +740,7 @@ def made_up_metadata(spark, d):
 @query()
 def composed_documents(spark, d):
     t = table(spark, d, "bench_labels")
-    clean = t.select("label_id", S.composed_document(F.col("extraction"), T.truncate_words(T.text(F.col("full_text")), 500)).alias("text"), F.lit("clean").alias("variant"))
+    clean = t.select("label_id", S.composed_document(F.col("extraction"), T.text(F.col("full_text"))).alias("text"), F.lit("clean").alias("variant"))
     noisy = clean.withColumns({"text": T.scan_noise(F.col("text"), F.col("label_id")), "variant": F.lit("noisy")})
     return clean.unionByName(noisy)
 
@@ -750,6 +750,12 @@ def training_text(spark, d):
     return table(spark, d, "bench_labels").select("label_id", S.training_text(F.lit("Trích xuất."), F.left("full_text", F.lit(200)), F.col("extraction.so_hieu")).alias("row_text"))
 
 
+@query("""SELECT label_id, '### Instruction:' || chr(10) || 'Trích xuất.' || chr(10) || chr(10) || '### Input:' || chr(10) || coalesce(full_text, '') || chr(10) || chr(10) || '### Response:' || chr(10) || coalesce(extraction.so_hieu, '') || '</s>' AS row_text FROM bench_labels""")
+def training_text_whole(spark, d):
+    """C9 with the whole input, as the reference has it; training_text and its SQL keep 200 characters."""
+    return table(spark, d, "bench_labels").select("label_id", S.training_text(F.lit("Trích xuất."), F.col("full_text"), F.col("extraction.so_hieu")).alias("row_text"))
+
+
 @query()
 def conversations(spark, d):
     return table(spark, d, "bench_labels").select("label_id", S.conversation(F.col("label_id"), F.lit("Số hiệu?"), T.text(F.col("extraction.so_hieu"))).alias("json"))
