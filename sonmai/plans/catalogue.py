@@ -801,6 +801,13 @@ def annotated_chunks(spark, d):
     return t.select(F.col("doc_id").alias("label_id"), "line_no", R.annotated(F.col("text"), F.col("line_no") - 1, F.col("n")).alias("marked"))
 
 
+@query()
+def annotated_chunks_whole(spark, d):
+    """G7 of every chunk of every text; annotated_chunks and its SQL have the first lines only."""
+    t = R.chunk_rows(table(spark, d, "documents"), "doc_id", "text")
+    return t.select("chunk_id", "doc_id", "chunk_index", R.annotated(F.col("text"), F.col("chunk_index"), F.col("total_chunks")).alias("marked"))
+
+
 @query("""SELECT document_id, min_by(so_hieu, id) FILTER (trim(coalesce(so_hieu, '')) <> '') AS so_hieu, min_by(nguoi_ky, id) FILTER (trim(coalesce(nguoi_ky, '')) <> '') AS nguoi_ky FROM extraction_results GROUP BY document_id""")
 def merge_chunks(spark, d):
     return R.merged_chunk_results(table(spark, d, "extraction_results"), ("so_hieu", "nguoi_ky"), key="document_id", order="id")

@@ -21,3 +21,12 @@ def test_composed_and_training_texts_hold_the_whole_text(spark):
     assert composed.join(labels, "label_id").where("NOT contains(text, t)").count() == 0
     rows = catalogue.QUERIES["training_text_whole"](spark, D)
     assert rows.join(labels, "label_id").where("NOT contains(row_text, t)").count() == 0
+
+
+def test_every_chunk_is_annotated(spark):
+    chunks = catalogue.QUERIES["chunk_paragraphs"](spark, D)
+    rows = catalogue.QUERIES["annotated_chunks_whole"](spark, D)
+    assert rows.count() == chunks.count() and rows.where("chunk_index > 0").count() > 0
+    mark = F.concat(F.col("text"), F.lit("\n[Đoạn "), (F.col("chunk_index") + 1).cast("string"), F.lit("/"), F.col("total_chunks").cast("string"), F.lit("]"))
+    both = rows.drop("doc_id", "chunk_index").join(chunks, "chunk_id")
+    assert both.count() == chunks.count() and both.where(F.col("marked") != mark).count() == 0
