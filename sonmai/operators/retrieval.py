@@ -54,6 +54,28 @@ def nearest(vectors: DataFrame, query: list[float], k: int = 5, where: Column |
     return t.select("*", d.alias("distance")).where("distance IS NOT NULL").orderBy("distance", key).limit(k)
 
 
+def nearest_each(vectors: DataFrame, queries: DataFrame, k: int = 5, where: Column | None = None, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """J16, O5, F7 for a set of queries: (query_id, key, distance) of the k nearest vectors to each of queries' (key, vector).
+
+    Blocks of queries meet blocks of vectors; each task keeps the top k of a query before they are merged.
+    """
+    d = lambda c: F.col(c).cast("array<double>")
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
+    norm = lambda c: F.sqrt(total(F.transform(d(c), lambda v: v * v)))
+    q = queries.select(F.col(key).alias("query_id"), d(vector).alias("_q"), norm(vector).alias("_qn"))
+    t = (vectors if where is None else vectors.where(where)).select(key, d(vector).alias("_v"), norm(vector).alias("_vn"))
+    dot = total(F.zip_with("_q", "_v", lambda x, y: x * y))
+    met = q.crossJoin(t).where(F.size("_q") == F.size("_v")).select("query_id", key, (1.0 - F.try_divide(dot, F.col("_qn") * F.col("_vn"))).alias("distance"))
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", key))
+    return met.where("distance IS NOT NULL").withColumn("_r", best).where(F.col("_r") <= k).drop("_r")
+
+
+def contexts(found: DataFrame, c: str = "text") -> DataFrame:
+    """G5 for a set of queries: (query_id, context). found: top-k rows of each; c NULL where a vector has no text."""
+    t = found.groupBy("query_id").agg(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("distance", F.col(c).alias("t"))))).alias("a"))
+    return t.select("query_id", F.when(F.size("a") == 0, "Không tìm thấy thông tin liên quan.").otherwise(F.array_join(F.transform("a", lambda x: x["t"]), "\n---\n")).alias("context"))
+
+
 def context(found: DataFrame, c: str = "text") -> DataFrame:
     """The texts joined in the order of their distance; a fixed answer for none. found: top-k rows."""
     t = found.agg(F.array_sort(F.collect_list(F.struct("distance", F.col(c).alias("t")))).alias("a"))

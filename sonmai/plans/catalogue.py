@@ -795,6 +795,28 @@ def cosine_topk_filtered(spark, d):
     return t.select("vec_id", F.round("distance", 6).alias("distance"))
 
 
+def _all_sql(k: int, where: str) -> str:
+    d = "1 - list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[])"
+    return f"""SELECT query_id, vec_id, round(distance, 6) AS distance FROM (SELECT q.vec_id AS query_id, v.vec_id, {d} AS distance FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0 AND v.{where})
+        QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) <= {k}"""
+
+
+def _nearest_all(spark, d, k: int, where=None) -> DataFrame:
+    """Every vector whose id is divisible by 20 is a query against all."""
+    t = table(spark, d, "embeddings")
+    return R.nearest_each(t, t.where("vec_id % 20 = 0"), k, where)
+
+
+@query(_all_sql(10, "vec_id IS NOT NULL"))
+def cosine_topk_all(spark, d):
+    return _nearest_all(spark, d, 10).withColumn("distance", F.round("distance", 6))
+
+
+@query(_all_sql(5, "label = 1"))
+def cosine_topk_filtered_all(spark, d):
+    return _nearest_all(spark, d, 5, F.col("label") == 1).withColumn("distance", F.round("distance", 6))
+
+
 @query("SELECT label_id, line_no, regexp_replace(text || chr(10) || '[Đoạn ' || line_no || '/' || n || ']', '', '') AS marked FROM (SELECT doc_id AS label_id, line_no, text, count(*) OVER (PARTITION BY doc_id) AS n FROM (" + _LINES + ")) WHERE line_no = 1")
 def annotated_chunks(spark, d):
     t = _lines(spark, d).withColumn("n", F.count("*").over(Window.partitionBy("doc_id"))).where("line_no = 1")
@@ -834,6 +856,13 @@ def context_listagg(spark, d):
     return R.context(e.join(table(spark, d, "documents"), "doc_id"))
 
 
+@query()
+def context_listagg_all(spark, d):
+    """context_listagg for each query of cosine_topk_all."""
+    e = _nearest_all(spark, d, 5).withColumnRenamed("vec_id", "doc_id")
+    return R.contexts(e.join(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "left"))
+
+
 # --- streams and windows of time ------------------------------------------------------------------------------------
 
 

@@ -30,3 +30,12 @@ def test_every_chunk_is_annotated(spark):
     mark = F.concat(F.col("text"), F.lit("\n[Đoạn "), (F.col("chunk_index") + 1).cast("string"), F.lit("/"), F.col("total_chunks").cast("string"), F.lit("]"))
     both = rows.drop("doc_id", "chunk_index").join(chunks, "chunk_id")
     assert both.count() == chunks.count() and both.where(F.col("marked") != mark).count() == 0
+
+
+def test_every_twentieth_vector_is_a_query(spark):
+    ids = {r.vec_id for r in table(spark, D, "embeddings").where("vec_id % 20 = 0").collect()}
+    assert len(ids) > 1
+    for name, k in (("cosine_topk_all", 10), ("cosine_topk_filtered_all", 5)):
+        got = [r.query_id for r in catalogue.QUERIES[name](spark, D).collect()]
+        assert set(got) == ids and all(got.count(i) == k for i in ids)
+    assert {r.query_id for r in catalogue.QUERIES["context_listagg_all"](spark, D).collect()} == ids
