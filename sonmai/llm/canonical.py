@@ -2,7 +2,8 @@
 
 Method: the entries of the reference list, with the abbreviated and reordered forms that follow from them, are indexed by
 their deletion neighbourhoods; a value looks up its own deletions, candidates are ranked by weighted Damerau–Levenshtein
-distance, then by how often the entry itself occurs. Values without a candidate in the bound are reported as misses.
+distance, then by how often the entry itself occurs in all rows, spelled exactly, then by the value's plain distance to
+its name. Values without a candidate in the bound are reported as misses.
 
 Scale: distinct values are mapped, each once. The reference list is broadcast; its length is checked against LIST_MOST.
 
@@ -48,7 +49,8 @@ def split_kind(names: dict[int, list[str]], shorts: dict[int, str | None]) -> di
 class Types:
     """Kinds of documents: names, codes, first word cut to its initial, words around them."""
 
-    def __init__(self, refs: list[tuple[int, str, str | None]]):
+    def __init__(self, refs: list[tuple[int, str, str | None]], uses: dict[int, int] | None = None):
+        self.uses = uses or {}
         self.exact = {}
         self.codes: dict[str, int] = {}
         self.folded_codes: dict[str, set[int]] = defaultdict(set)
@@ -89,7 +91,7 @@ class Types:
                 got = self.index2.find(c)
             if got:
                 best = [i for d, _, i in got if d <= got[0][0] + 0.01]
-                best.sort(key=lambda i: (distance(t, self.names[i].lower(), 9), i))
+                best.sort(key=lambda i: (-self.uses.get(i, 0), distance(t, self.names[i].lower(), 9), i))
                 return best[0], got[0][0]
             short = t
             for a in AROUND:
@@ -110,7 +112,8 @@ class Types:
 class Agencies:
     """Bodies with a kind and a place: either may come first, the kind may be abbreviated, one may hold a slip."""
 
-    def __init__(self, refs: list[tuple[int, str, str | None]]):
+    def __init__(self, refs: list[tuple[int, str, str | None]], uses: dict[int, int] | None = None):
+        self.uses = uses or {}
         self.names = {i: n for i, n, _ in refs if n}
         words = {i: fold(n) for i, n in self.names.items()}
         at = split_kind(words, {i: s for i, _, s in refs})
@@ -168,17 +171,26 @@ class Agencies:
             return 0, 9.0
         low = min(best.values())
         t = _tidy(value)
-        return min((i for i, d in best.items() if d <= low + 0.01), key=lambda i: (distance(t, self.names[i].lower(), 30), i)), low
+        return min((i for i, d in best.items() if d <= low + 0.01), key=lambda i: (-self.uses.get(i, 0), distance(t, self.names[i].lower(), 30), i)), low
 
 
-def map_values(values: DataFrame, reference: list[tuple[int, str, str | None]], kind: str) -> DataFrame:
-    """values: (value). Adds ref_id (0 for none) and distance."""
+def entry_uses(values: DataFrame, reference: list[tuple[int, str, str | None]]) -> dict[int, int]:
+    """How many rows of values have an entry's name exactly, by its id; at most one number per entry."""
+    ids = {n: int(i) for i, n, _ in sorted((r for r in reference if r[0] is not None and r[1]), reverse=True, key=lambda r: r[0])}
+    if not ids:
+        return {}
+    names = values.sparkSession.createDataFrame([(n,) for n in ids], "value string")
+    return {ids[r.value]: r.n for r in values.join(F.broadcast(names), "value").groupBy("value").agg(F.count("*").alias("n")).collect()}
+
+
+def map_values(values: DataFrame, reference: list[tuple[int, str, str | None]], kind: str, uses: dict[int, int] | None = None) -> DataFrame:
+    """values: (value). uses: how often each entry occurs, which settles ties. Adds ref_id (0 for none) and distance."""
     if len(reference) > LIST_MOST:
         raise ValueError(f"the reference list has {len(reference)} entries; at most {LIST_MOST} are broadcast")
     refs = values.sparkSession.sparkContext.broadcast([(int(i), n, s) for i, n, s in reference if i is not None and n])
 
     def run(batches):
-        m = (Types if kind == "type" else Agencies)(refs.value)
+        m = (Types if kind == "type" else Agencies)(refs.value, uses)
         exact = {}
         for i, n, _ in sorted(refs.value, reverse=True):
             exact[n] = i
@@ -194,7 +206,7 @@ def canonical_map(df: DataFrame, key: str, fields: dict[str, tuple[str, list, st
     out = None
     for name, (expr, reference, kind) in fields.items():
         rows = df.select(key, F.expr(expr).alias("value")).where(F.length(F.regexp_replace("value", r"(?U)\s", "")) > 0)
-        mapped = map_values(rows.select("value").distinct(), reference, kind)
+        mapped = map_values(rows.select("value").distinct(), reference, kind, entry_uses(rows, reference[:LIST_MOST]))
         one = rows.join(mapped, "value").select(key, F.lit(name).alias("field"), "value", "ref_id", "distance")
         out = one if out is None else out.unionByName(one)
     return out
