@@ -192,7 +192,7 @@ def corpus_counts(df: DataFrame, key: str, text: str) -> DataFrame:
         flush()
         names = list(ids)
         out = [("r", "", "", rows)] + [("w", names[i], "", n) for i, n in df_n.items() if len(names[i]) < 40] + [("h", f, "", n) for f, n in forms.items()]
-        out += [("p", names[k >> 32], names[k & 0xFFFFFFFF], n) for k, n in pairs.items() if n > 1 and len(names[k >> 32]) < 40 and len(names[k & 0xFFFFFFFF]) < 40]
+        out += [("p", names[k >> 32], names[k & 0xFFFFFFFF], n) for k, n in pairs.items() if len(names[k >> 32]) < 40 and len(names[k & 0xFFFFFFFF]) < 40]
         for i in range(0, len(out), 100_000):
             k, a, b, n = zip(*out[i : i + 100_000])
             yield pa.RecordBatch.from_arrays([pa.array(k, pa.string()), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(n, pa.int64())], ["kind", "a", "b", "n"])
