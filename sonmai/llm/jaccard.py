@@ -4,11 +4,12 @@ Method: features are put into one order, the rare ones first. Two sets of n and
 least t / (1 + t) * (n + m) in common, and never fewer than t * n; so they share a feature among the first
 n - ceil(t * n) + 1 of each, and as many there as that overlap leaves when the longer rest is taken off. Pairs that share so
 many are the candidates, but those whose bitmaps of all features differ in more bits than the sets may differ in features;
-whoever calls verifies them by the whole texts. No pair at or above the threshold is left out,
-however frequent its features are.
+whoever calls verifies them by the whole sets. No pair at or above the threshold is left out, however frequent its features
+are.
 
-Scale: prefixes travel in packed blocks of bounded size, written once; blocks meet pairwise and count within the task, so
-nothing is shuffled by feature or by pair but the candidates. The work of meeting is quadratic in the distinct texts.
+Scale: sets are read from the one table of features; prefixes travel in packed blocks of bounded size, written once. Every
+block meets every other, as a query set meets all rows, and counts within the task, so nothing is shuffled by feature or by
+pair but the candidates. The work of meeting is quadratic in the distinct texts.
 """
 
 from __future__ import annotations
@@ -20,13 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .shingles import chunks, column_features, narrow, read_features, set_ids
+from .shingles import in_sorted
 
 TEXTS, ENTRIES = 8192, 2_000_000  # of a block, at most; one longer text is a block of its own
 CELLS, MEETINGS = 250_000, 2_000_000  # counted at once, so that they stay in cache
 BITS = 2048  # of the bitmap of a set
-TRAIN, EVAL = 1, 2
-_BLOCK = "block long, kind int, fp binary, n binary, f binary, d binary, bits binary"
+COLUMNS = ("fp", "n", "r", "f", "d", "bits")
+_BLOCK = "block long, kind int, " + ", ".join(f"{c} binary" for c in COLUMNS)
 
 
 def prefix_lengths(n: np.ndarray, t: float) -> np.ndarray:
@@ -42,7 +43,7 @@ def prefixes(v: np.ndarray, o: np.ndarray, known: np.ndarray, counts: np.ndarray
         at = np.searchsorted(known, v)
         at[at == len(known)] = 0
         c = np.where(known[at] == v, counts[at], 0)
-    order = np.argsort((doc << 32) + c, kind="stable")  # in a set, features come by hash
+    order = np.argsort((doc << 32) + c, kind="stable")  # in a set, features are sorted
     keep = np.arange(len(v)) - o[:-1][doc] < prefix_lengths(n, t)[doc]
     return v[order][keep], doc[keep]
 
@@ -63,26 +64,23 @@ def alike(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray, most: np.n
     return good
 
 
-def meet(x: tuple, y: tuple, t: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of indices of the sets of two blocks that share enough of their prefixes. A block: (sizes, rising; features, sorted; the set of each; bitmaps)."""
-    (nx, fx, dx, bx), (ny, fy, dy, by) = x, y
-    none = np.empty(0, np.int64)
-    if not len(fx) or not len(fy):
-        return none, none
+def sums(nx: np.ndarray, width: int, x: tuple, y: tuple, value=None):
+    """(first, last, totals): for rows of sets of one block at a time, what each set of theirs adds up to with every set of the other.
+
+    x, y: (features, sorted; the set of each). value: weight of a place in y's features with one in x's, 1 without it.
+    """
+    (fx, dx), (fy, dy) = x, y
     lo, hi = np.searchsorted(fy, fx, "left"), np.searchsorted(fy, fx, "right")
     order = np.argsort(dx, kind="stable")
     order = order[hi[order] > lo[order]]
     lo, size, doc = lo[order], (hi - lo)[order], dx[order].astype(np.int64)
-    share, width = t / (1 + t), len(ny)
-    rx, ry = nx - prefix_lengths(nx, t), ny - prefix_lengths(ny, t)
     step = max(1, CELLS // width)
-    a, b = [], []
     for first in range(0, len(nx), step):
         last = min(first + step, len(nx))
         begin, end = np.searchsorted(doc, [first, last])
         if begin == end:
             continue
-        total = np.zeros((last - first) * width, np.int64)
+        total = np.zeros((last - first) * width, np.int64 if value is None else np.float64)
         ends = np.cumsum(size[begin:end])
         at = 0
         while at < end - begin:
@@ -92,102 +90,157 @@ def meet(x: tuple, y: tuple, t: float) -> tuple[np.ndarray, np.ndarray]:
             begun = np.cumsum(s) - s
             place = np.repeat(lo[begin + at : begin + to] - begun, s) + np.arange(int(s.sum()))
             key = np.repeat((doc[begin + at : begin + to] - first) * width, s) + dy[place]
-            total += np.bincount(key, minlength=len(total))
+            w = None if value is None else np.repeat(value[order[begin + at : begin + to]], s)
+            total += np.bincount(key, w, minlength=len(total))
             at = to
+        yield first, last, total.reshape(-1, width)
+
+
+def meet(x: tuple, y: tuple, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of indices of the sets of two blocks that share enough of their prefixes. A block: (sizes, rising; features, sorted; the set of each; bitmaps)."""
+    (nx, fx, dx, bx), (ny, fy, dy, by) = x, y
+    none = np.empty(0, np.int64)
+    if not len(fx) or not len(fy):
+        return none, none
+    share = t / (1 + t)
+    rx, ry = nx - prefix_lengths(nx, t), ny - prefix_lengths(ny, t)
+    a, b = [none], [none]
+    for first, last, total in sums(nx, len(ny), (fx, dx), (fy, dy)):
         # what any set of these sizes must share at least; then the same pair by pair
         small, large = nx[first], nx[last - 1]
         least = np.maximum(1, np.ceil(share * (small + ny) - 1e-6) - np.maximum(rx[first:last].max(), ry))
         least[(ny < t * small - 1e-6) | (large < t * ny - 1e-6)] = np.iinfo(np.int32).max
-        i, j = np.nonzero(total.reshape(-1, width) >= least.astype(np.int64))
-        c, i = total.reshape(-1, width)[i, j], i + first
+        i, j = np.nonzero(total >= least.astype(np.int64))
+        c, i = total[i, j], i + first
         need = np.ceil(share * (nx[i] + ny[j]) - 1e-6) - np.maximum(rx[i], ry[j])
         good = (c >= need) & (np.minimum(nx[i], ny[j]) >= t * np.maximum(nx[i], ny[j]) - 1e-6)
         i, j = i[good], j[good]
-        good = alike(bx, by, i, j, nx[i] + ny[j] - 2 * np.ceil(share * (nx[i] + ny[j]) - 1e-6).astype(np.int64))
+        good = close(bx, by, nx, ny, i, j, t)
         a.append(i[good])
         b.append(j[good])
-    return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
+    return np.concatenate(a), np.concatenate(b)
 
 
-def candidates(df: DataFrame, text: str, known: np.ndarray, counts: np.ndarray, threshold: float, side: str | None = None) -> DataFrame:
-    """(a, b): pairs of set ids, a < b, among which are all whose similarity reaches the threshold.
+def close(bx, by, nx, ny, i, j, t: float) -> np.ndarray:
+    """Whether bitmaps and sizes allow the Jaccard similarity t."""
+    return alike(bx, by, i, j, nx[i] + ny[j] - 2 * np.ceil(t / (1 + t) * (nx[i] + ny[j]) - 1e-6).astype(np.int64))
 
-    side: a column of 1, 2 or 3 for both; only pairs of a 1 with a 2 are wanted.
+
+def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The features of a batch of packed sets end to end, and their offsets. Sorted within each set."""
+    got = [np.frombuffer(x.as_buffer(), np.int32) if x.is_valid else np.empty(0, np.int32) for x in column]
+    return (np.concatenate(got) if got else np.empty(0, np.int32)), np.concatenate([[0], np.cumsum([len(x) for x in got])]).astype(np.int64)
+
+
+def packed_blocks(sets: DataFrame, prefix, kinds: tuple[int, ...] = (0,)) -> DataFrame:
+    """Blocks of sets with their prefixes, written. sets: (fp, s) or (fp, s, side); a set goes to the blocks of each kind whose bits its side has.
+
+    prefix(v, offsets) gives (features, set of each, length of each set's, an array of one item or several 64-bit numbers of each set for the join's own use).
     """
-    table = df.sparkSession.sparkContext.broadcast((known, counts))
 
     def pack(batches):
-        k, c = table.value
         made = TaskContext.get().partitionId() << 32
-        kinds = (0,) if side is None else (TRAIN, EVAL)
         held = {kind: [] for kind in kinds}
 
         def out(kind):
             nonlocal made
-            fp, n, f, d, bits = (np.concatenate(z) for z in zip(*held[kind]))
-            d = d + np.repeat(np.cumsum([0, *(len(z[0]) for z in held[kind][:-1])]), [len(z[3]) for z in held[kind]])
+            fp, n, r, f, d, bits = (np.concatenate(z) for z in zip(*held[kind]))
+            d = d + np.repeat(np.cumsum([0, *(len(z[0]) for z in held[kind][:-1])]), [len(z[4]) for z in held[kind]])
             held[kind] = []
             by_size = np.argsort(n, kind="stable")
             place = np.empty(len(n), np.int64)
             place[by_size] = np.arange(len(n))
             order = np.argsort(f, kind="stable")
             made += 1
-            row = [made, kind, fp[by_size].tobytes(), n[by_size].astype(np.int32).tobytes(), f[order].tobytes(), place[d][order].astype(np.uint16).tobytes(), bits[by_size].tobytes()]
-            types = [pa.int64(), pa.int32(), *[pa.binary()] * 5]
-            return pa.RecordBatch.from_arrays([pa.array([x], kt) for x, kt in zip(row, types)], ["block", "kind", "fp", "n", "f", "d", "bits"])
-
-        seen: dict[int, int] = {}
-        for batch in chunks(batches):
-            h, o = column_features(batch.column(batch.num_columns - 1))
-            fp, n = set_ids(h, o), np.diff(o)
-            sd = np.full(len(fp), 0) if side is None else batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            new = np.zeros(len(fp), bool)
-            for i, x in enumerate(fp.tolist()):
-                if x and seen.get(x) != sd[i]:
-                    seen[x] = sd[i]
-                    new[i] = True
-            if len(seen) > 5_000_000:
-                seen.clear()
-            for kind in kinds:
-                use = new & ((sd & kind) == kind)
-                m = n[use]
-                v = narrow(h[np.repeat(use, n)])
-                f, d = prefixes(v, np.r_[0, np.cumsum(m)], k, c, threshold)
-                bits = bitmaps(v, m)
-                p, ids = prefix_lengths(m, threshold), fp[use]
-                ends, at = np.cumsum(p), 0
-                while at < len(m):
-                    room = ENTRIES - sum(len(z[2]) for z in held[kind])
-                    fits = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + room, "right"))
-                    to = min(fits, at + TEXTS - sum(len(z[0]) for z in held[kind]))
-                    if to <= at and held[kind]:
-                        yield out(kind)
-                        continue
-                    to = max(to, at + 1)
-                    x, y = ends[at - 1] if at else 0, ends[to - 1]
-                    held[kind].append((ids[at:to], m[at:to], f[x:y], d[x:y] - at, bits[at:to]))
-                    at = to
+            row = [made, kind, *(z.tobytes() for z in (fp[by_size], n[by_size].astype(np.int32), r[by_size], f[order], place[d][order].astype(np.uint16), bits[by_size]))]
+            return pa.RecordBatch.from_arrays([pa.array([z], kt) for z, kt in zip(row, [pa.int64(), pa.int32(), *[pa.binary()] * 6])], ["block", "kind", *COLUMNS])
+
+        seen: set[int] = set()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                batch = whole.slice(at, 2000)
+                fp = batch.column(0).to_numpy(zero_copy_only=False)
+                v, o = unpacked(batch.column(1))
+                side = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64) if len(kinds) > 1 else np.zeros(len(fp), np.int64)
+                new = np.array([x not in seen and not seen.add(x) for x in fp.tolist()], bool)
+                if len(seen) > 5_000_000:
+                    seen.clear()
+                for kind in kinds:
+                    use = new & ((side & kind) == kind)
+                    m = np.diff(o)[use]
+                    u = v[np.repeat(use, np.diff(o))]
+                    f, d, p, r = prefix(u, np.r_[0, np.cumsum(m)])
+                    bits, ids = bitmaps(u, m), fp[use]
+                    ends, k = np.cumsum(p), 0
+                    while k < len(m):
+                        room = ENTRIES - sum(len(z[3]) for z in held[kind])
+                        fits = int(np.searchsorted(ends, (ends[k - 1] if k else 0) + room, "right"))
+                        to = min(fits, k + TEXTS - sum(len(z[0]) for z in held[kind]))
+                        if to <= k and held[kind]:
+                            yield out(kind)
+                            continue
+                        to = max(to, k + 1)
+                        x, y = ends[k - 1] if k else 0, ends[to - 1]
+                        held[kind].append((ids[k:to], m[k:to], r[k:to], f[x:y], d[x:y] - k, bits[k:to]))
+                        k = to
         for kind in kinds:
             if held[kind]:
                 yield out(kind)
 
+    return written(sets.mapInArrow(pack, _BLOCK), "blocks")
+
+
+def block_pairs(two: DataFrame, meeting) -> DataFrame:
+    """(a, b), a < b: meeting(x, y) of each row's two blocks, distinct."""
+    types = (np.int64, np.int32, np.float64, np.int32, np.uint16, np.uint64)
+
     def compare(batches):
         for batch in batches:
-            for r in range(batch.num_rows):
-                of = [[np.frombuffer(batch.column(s + k)[r].as_buffer(), t) for k, t in enumerate((np.int64, np.int32, np.int32, np.uint16, np.uint64))] for s in (0, 5)]
-                x, y = ((fp, (n.astype(np.int64), f, d, bits.reshape(len(n), -1))) for fp, n, f, d, bits in of)
-                i, j = meet(x[1], y[1], threshold)
+            for row in range(batch.num_rows):
+                x, y = ([np.frombuffer(batch.column(s + k)[row].as_buffer(), t) for k, t in enumerate(types)] for s in (0, len(types)))
+                for z in (x, y):
+                    z[1], z[5] = z[1].astype(np.int64), z[5].reshape(len(z[1]), -1)
+                i, j = meeting(x, y)
                 a, b = x[0][i], y[0][j]
                 two = a != b
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[two]), pa.array(np.maximum(a, b)[two])], ["a", "b"])
 
-    others = [] if side is None else [side]
-    blocks = written(read_features(df, text, *others).mapInArrow(pack, _BLOCK), "blocks")
-    cols = ("fp", "n", "f", "d", "bits")
-    left = blocks.select("block", "kind", *(F.col(c).alias(f"x{c}") for c in cols))
-    right = blocks.select(F.col("block").alias("other"), F.col("kind").alias("okind"), *(F.col(c).alias(f"y{c}") for c in cols))
-    if side is None:
-        two = left.hint("shuffle_replicate_nl").join(right, F.col("block") <= F.col("other"))
-    else:
-        two = left.where(F.col("kind") == TRAIN).hint("shuffle_replicate_nl").crossJoin(right.where(F.col("okind") == EVAL))
-    return two.select(*(f"x{c}" for c in cols), *(f"y{c}" for c in cols)).mapInArrow(compare, "a long, b long").distinct()
+    return two.select(*(f"x{c}" for c in COLUMNS), *(f"y{c}" for c in COLUMNS)).mapInArrow(compare, "a long, b long").distinct()
+
+
+def sides(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return (
+        blocks.select("block", "kind", *(F.col(c).alias(f"x{c}") for c in COLUMNS)),
+        blocks.select(F.col("block").alias("other"), F.col("kind").alias("okind"), *(F.col(c).alias(f"y{c}") for c in COLUMNS)),
+    )
+
+
+def candidates(sets: DataFrame, known: np.ndarray, counts: np.ndarray, threshold: float) -> DataFrame:
+    """(a, b): pairs of set ids, a < b, among which are all whose similarity reaches the threshold. sets: (fp, s)."""
+    table = sets.sparkSession.sparkContext.broadcast((known, counts))
+
+    def prefix(v, o):
+        f, d = prefixes(v, o, *table.value, threshold)
+        return f, d, prefix_lengths(np.diff(o), threshold), np.zeros(len(o) - 1)
+
+    left, right = sides(packed_blocks(sets, prefix))
+    two = left.hint("shuffle_replicate_nl").join(right, F.col("block") <= F.col("other"))
+    return block_pairs(two, lambda x, y: meet((x[1], x[3], x[4], x[5]), (y[1], y[3], y[4], y[5]), threshold))
+
+
+def exact(sets: DataFrame, candidates: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, jaccard) of the candidate pairs whose exact similarity reaches the threshold. sets: (fp, s), repeats allowed."""
+    wanted = candidates.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    sets = written(sets.select("fp", "s").join(wanted, "fp", "left_semi").dropDuplicates(["fp"]), "sets")
+
+    def compare(batches):
+        for batch in batches:
+            jac = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = np.frombuffer(x.as_buffer(), np.int32), np.frombuffer(y.as_buffer(), np.int32)
+                both = int(in_sorted(x, y).sum())
+                jac.append(both / (len(x) + len(y) - both) if len(x) else 0.0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(jac, pa.float64())], ["a", "b", "jaccard"])
+
+    two = candidates.join(sets.select(F.col("fp").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("s").alias("y")), "b")
+    return two.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, jaccard double").where(F.col("jaccard") >= threshold)

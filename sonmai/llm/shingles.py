@@ -129,12 +129,13 @@ def narrow(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def profile(df: DataFrame, key: str, text: str, share: float) -> DataFrame:
-    """One pass over the texts, written to the shared folder: (id, fp, NULL, NULL) per row with a non-blank text, fp its
-    set id, and (NULL, NULL, x, n) for shingles frequent among the distinct texts of a task.
+def feature_sets(df: DataFrame, key: str, text: str, share: float) -> DataFrame:
+    """The one pass over the texts, written to the shared folder: (id, fp, s) per row with a text, fp its set id (0: no word)
+    and s its sorted features, NULL where the task has met the set before; and (x, n) for the features frequent among the
+    distinct sets of a task.
 
-    A shingle frequent overall is frequent in some task (Savasere's partition argument), so each task reports only its
-    own frequent ones; their number is at most the mean text's shingles divided by share, however many rows there are.
+    A feature frequent overall is frequent in some task (Savasere's partition argument), so each task reports only its
+    own frequent ones; their number is at most the mean text's features divided by share, however many rows there are.
     """
     kind = df.schema[key].dataType.simpleString()
 
@@ -149,7 +150,7 @@ def profile(df: DataFrame, key: str, text: str, share: float) -> DataFrame:
             k2, at = np.unique(np.concatenate([keys, k]), return_inverse=True)
             return k2, np.bincount(at, np.concatenate([counts, c])).astype(np.int64)
 
-        names = ["id", "fp", "x", "n"]
+        names = ["id", "fp", "s", "x", "n"]
         id_type = None
         for b in chunks(batches):
             id_type = b.schema.field(0).type
@@ -157,13 +158,14 @@ def profile(df: DataFrame, key: str, text: str, share: float) -> DataFrame:
             fp = set_ids(h, o)
             new = np.zeros(len(fp), bool)
             for j, f in enumerate(fp.tolist()):
-                if f not in seen:
+                if f and f not in seen:
                     seen.add(f)
                     new[j] = True
             if len(seen) > 5_000_000:
                 seen.clear()
             n += int(new.sum())
-            held.append(narrow(h[np.repeat(new, np.diff(o))]))
+            v = narrow(h)
+            held.append(v[np.repeat(new, np.diff(o))])
             size += len(held[-1])
             if size > 4_000_000:
                 keys, counts = merged()
@@ -171,20 +173,21 @@ def profile(df: DataFrame, key: str, text: str, share: float) -> DataFrame:
                 if len(keys) > 8_000_000:  # what has been rare in all of so much isn't frequent in this task
                     keep = counts > max(1, share * n / 4)
                     keys, counts = keys[keep], counts[keep]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), pa.nulls(len(fp), pa.int32()), pa.nulls(len(fp), pa.int64())], names)
+            sets = pa.array([np.sort(v[o[i] : o[i + 1]]).tobytes() if new[i] else None for i in range(len(fp))], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), sets, pa.nulls(len(fp), pa.int32()), pa.nulls(len(fp), pa.int64())], names)
         if held:
             keys, counts = merged()
         keep = counts >= max(3, share * n / 2)
         if id_type is not None:
             k = int(keep.sum())
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, id_type), pa.nulls(k, pa.int64()), pa.array(keys[keep]), pa.array(counts[keep])], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, id_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(keys[keep]), pa.array(counts[keep])], names)
 
-    return written(read_features(df, text, key).mapInArrow(run, f"id {kind}, fp long, x int, n long"), "profile")
+    return written(read_features(df, text, key).mapInArrow(run, f"id {kind}, fp long, s binary, x int, n long"), "features")
 
 
-def frequent_features(profiled: DataFrame, share: float, rows: int) -> tuple[np.ndarray, np.ndarray]:
+def frequent_features(table: DataFrame, share: float, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """The shingles in more than about this share of the texts, sorted, and their counts; of bounded number."""
-    found = profiled.where("x IS NOT NULL").groupBy("x").agg(F.sum("n").alias("n")).where(F.col("n") >= max(4, share * rows)).collect()
+    found = table.where("x IS NOT NULL").groupBy("x").agg(F.sum("n").alias("n")).where(F.col("n") >= max(4, share * rows)).collect()
     found.sort(key=lambda r: r.x)
     return np.array([r.x for r in found], dtype=np.int32), np.array([r.n for r in found], dtype=np.int64)
 

@@ -3,9 +3,10 @@
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from sonmai.llm import evalleak, neardup, splitleak
+from sonmai.llm import evalleak, jaccard, neardup, splitleak
 
 WORDS = [a + b for a in ("ba", "ca", "đa", "ga", "hà", "lý", "mô", "nê", "pho", "quy") for b in ("n", "ng", "t", "m", "c", "", "i", "o", "p", "u")]
 
@@ -152,3 +153,58 @@ def test_common_core_and_core_with_insertion(labels):
     rows = [(i + 1, t) for i, t in enumerate(rows)]
     want = brute(rows)
     assert sum(a == 1 for a, _ in want) > 20 and pairs(labels(rows)) == want
+
+
+def cells(seed=5, each=4, n=200):
+    """Sets of rare and frequent features among a background, and the pairs at a similarity of 0.55 to 0.9 for any shares of rare features on both sides."""
+    rng = np.random.default_rng(seed)
+    common = rng.integers(1, 2**30, 400).astype(np.int32)
+    fresh = iter(range(-(2**30), 0))
+    rare = lambda k: np.array([next(fresh) for _ in range(k)], np.int32)
+    sets = [np.union1d(rng.choice(common, 240, replace=False), rare(60)) for _ in range(300)]
+    want = []
+    for jac in (0.55, 0.7, 0.9):
+        for share_shared in (0.0, 0.25, 0.5, 0.75, 1.0):
+            for share_x in (0.0, 0.5, 1.0):
+                for share_y in (0.0, 0.5, 1.0):
+                    for _ in range(each):
+                        shared = int(np.ceil(jac * n))
+                        extra = n - shared
+                        x_only = int(rng.integers(0, extra + 1))
+                        pool = rng.permutation(common)
+                        k = [int(shared * share_shared), int(x_only * share_x), int((extra - x_only) * share_y)]
+                        f = np.cumsum([0, shared - k[0], x_only - k[1], extra - x_only - k[2]])
+                        both = np.r_[pool[f[0] : f[1]], rare(k[0])]
+                        x = np.unique(np.r_[both, pool[f[1] : f[2]], rare(k[1])]).astype(np.int32)
+                        y = np.unique(np.r_[both, pool[f[2] : f[3]], rare(k[2])]).astype(np.int32)
+                        want.append((len(sets), len(sets) + 1))
+                        sets += [x, y]
+    return sets, want
+
+
+def known_of(sets, least=4):
+    v, n = np.unique(np.concatenate(sets), return_counts=True)
+    return v[n >= least], n[n >= least]
+
+
+def test_no_cell_of_rarity_and_similarity_loses_pairs(spark):
+    sets, want = cells()
+    known, counts = known_of(sets)
+    rows = [(i, s.tobytes()) for i, s in enumerate(sets)]
+    t = spark.createDataFrame(rows, "fp long, s binary").repartition(3)
+    got = {(r.a, r.b) for r in jaccard.candidates(t, known, counts, 0.55).collect()}
+    assert len(want) == 540 and not [p for p in want if p not in got]
+    sided = spark.createDataFrame([(i, s, 1 + i % 2) for i, s in rows], "fp long, s binary, side int").repartition(3)
+    got = {(r.a, r.b) for r in splitleak.candidates(sided, known, counts / len(sets)).collect()}
+    assert not [p for p in want if p not in got]
+
+
+def test_cosine_floor_holds_for_any_weights():
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        u = int(rng.integers(20, 300))
+        shared = int(np.ceil(0.55 * u))
+        x_only = int(rng.integers(0, u - shared + 1))
+        w = rng.choice([1.0, splitleak.RATIO], u) if rng.random() < 0.5 else np.r_[np.ones(shared), np.full(u - shared, splitleak.RATIO)]
+        x, y = w[: shared + x_only].sum(), w[:shared].sum() + w[shared + x_only :].sum()
+        assert w[:shared].sum() / np.sqrt(x * y) >= splitleak.floor() - 1e-9
