@@ -121,6 +121,11 @@ def p9_found(spark, d):
     return evalleak.found(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p9_near(spark, d):
+    """Leaks with at most one word of a window changed."""
+    return evalleak.near(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def p9_report(spark, d):
     """Leaked items and documents per evaluation split, task and source."""
     return evalleak.report(table(spark, d, "documents"), table(spark, d, "eval_items"))
@@ -142,10 +147,22 @@ def p10_rates(spark, d):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_groups, p2_found, p2_pieces, p3_found, p3_repaired, p4_found, p4_report, p5_found, p5_consistent, p5_groups, p6_found, p6_misses, p7_found, p7_entities, p8_ids, p8_roundtrip, p9_found, p9_report, p10_found, p10_scores, p10_rates)
+    for f in (p1_found, p1_groups, p2_found, p2_pieces, p3_found, p3_repaired, p4_found, p4_report, p5_found, p5_consistent, p5_groups, p6_found, p6_misses, p7_found, p7_entities, p8_ids, p8_roundtrip, p9_found, p9_near, p9_report, p10_found, p10_scores, p10_rates)
 }
 
+def _words(table: str, key: str) -> str:
+    plain = "translate(lower(strip_accents(regexp_replace(text, '[\\x{AD}\\x{200B}-\\x{200D}\\x{2060}\\x{FEFF}]', '', 'g'))), 'đ', 'd')"
+    return f"SELECT {key}, regexp_extract_all({plain}, '[\\p{{L}}\\p{{N}}]+') AS w FROM {table} WHERE text IS NOT NULL"
+
+
+def _windows(table: str, key: str) -> str:
+    return f"SELECT DISTINCT {key}, array_to_string(w[i : i + 11], ' ') AS win FROM (SELECT {key}, w, unnest(range(1, len(w) - 10)) AS i FROM ({_words(table, key)}) WHERE len(w) >= 12)"
+
+
 ORACLE: dict[str, str] = {
+    "p9_found": f"""SELECT DISTINCT d.doc_id AS doc_id, i.item_id AS item_id FROM ({_windows('documents', 'doc_id')}) d JOIN ({_windows('eval_items', 'item_id')}) i USING (win)
+        UNION SELECT d.doc_id AS doc_id, i.item_id AS item_id FROM ({_words('documents', 'doc_id')}) d JOIN ({_words('eval_items', 'item_id')}) i
+          ON len(i.w) BETWEEN 1 AND 11 AND contains(' ' || array_to_string(d.w, ' ') || ' ', ' ' || array_to_string(i.w, ' ') || ' ')""",
     "p2_found": r"""
         SELECT label_id, CAST(max(CASE WHEN length(run) > 2000 THEN 1 ELSE 0 END) AS BIGINT) AS forced
         FROM (SELECT label_id, unnest(regexp_split_to_array(full_text, '\s')) AS run FROM bench_labels WHERE length(full_text) > 2000)

@@ -208,3 +208,31 @@ def test_cosine_floor_holds_for_any_weights():
         w = rng.choice([1.0, splitleak.RATIO], u) if rng.random() < 0.5 else np.r_[np.ones(shared), np.full(u - shared, splitleak.RATIO)]
         x, y = w[: shared + x_only].sum(), w[:shared].sum() + w[shared + x_only :].sum()
         assert w[:shared].sum() / np.sqrt(x * y) >= splitleak.floor() - 1e-9
+
+
+def test_edited_windows_meet():
+    """Recall of one word substituted, inserted or deleted at any place, with 12 words and in longer passages; equal windows always meet."""
+    rng = np.random.default_rng(8)
+    items = [[f"w{x}" for x in rng.integers(0, 5000, int(rng.integers(12, 20)))] for _ in range(400)]
+    it = evalleak.Items(list(enumerate(map(" ".join, items))), evalleak.WINDOW, 1)
+    number = lambda ws: np.array([it.vocabulary.get(w, 0) for w in ws], np.int64)
+    for kind in ("same", "substituted", "inserted", "deleted"):
+        texts = []
+        for i, w in enumerate(items):
+            w = w[:12]
+            at = int(rng.integers(1, 11))
+            w = {"same": w, "substituted": [*w[:at], "zz", *w[at + 1 :]], "inserted": [*w[:at], "zz", *w[at:]], "deleted": w[:at] + w[at + 1 :]}[kind]
+            texts.append(number(["q", *w, "q"]))
+        x, o = np.concatenate(texts), np.cumsum([0, *map(len, texts)])
+        got = {(t, i): e for t, i, e, _ in it.matches(x, o)}
+        hit = [got.get((i, i)) == (kind != "same") for i in range(len(items))]
+        assert all(hit) if kind == "same" else np.mean(hit) >= 0.97, (kind, np.mean(hit))
+
+
+def test_one_word_items_and_shared_windows():
+    it = evalleak.Items([(1, "hello"), (2, "một hai ba bốn năm sáu bảy tám chín mười mươi trăm"), (3, "một hai ba bốn năm sáu bảy tám chín mười mươi trăm nghìn")], 12, 0)
+    n = lambda t: np.array([it.vocabulary.get(w, 0) for x in t.split() for w in evalleak.words_of(x)], np.int64)
+    texts = [n(""), n("hello"), n("MỘT hai, ba bốn năm sáu bảy tám chín mười mươi trăm hello")]
+    x, o = np.concatenate(texts), np.cumsum([0, *map(len, texts)])
+    assert {m[:3] for m in it.matches(x, o)} == {(1, 1, 0), (2, 1, 0), (2, 2, 0), (2, 3, 0)}
+    assert {m[:3] for m in it.matches(n("hello"), np.array([0, 0, 1]))} == {(1, 1, 0)}
