@@ -2,14 +2,15 @@
 
 Method: the distinct words of the corpus are encoded by Spark higher-order functions: a fold over the bytes of a word joins,
 again and again, the neighbours of the lowest rank, looked up in a literal rank map. The map is an array of small maps,
-chosen by a checksum of the key, as a lookup in one large map literal would scan it. Documents are then put together from
-their words' ids within blocks of bounded size, each with the dictionary of the words it holds. Decoding concatenates the
-binary pieces of the ids.
+chosen by a checksum of the key, as a lookup in one large map literal would scan it. Documents are cut into words once, in
+blocks of bounded size with a dictionary each, and put together from the ids of their block's dictionary. Decoding
+concatenates the binary pieces of the ids.
 
 Words longer than LONG bytes, of which the fold's cost is the square, are encoded by the same merges with a heap.
 
-Scale: documents are shuffled once, by block; words are distinct within each task and block before they are shuffled. No
-dictionary of the corpus is broadcast or collected: a block gets the words it has.
+Scale: blocks are bounded in characters and local to the task that reads the documents, which holds no more than one of
+them. What is shuffled are blocks as places in their dictionaries, and the distinct words of each block. No dictionary of the
+corpus is broadcast or collected: a block gets the words it has.
 
 Defined results: NULL and empty texts have no ids (an empty list). Text that looks like a special token is ordinary text.
 Repeated rows are encoded alike. Extra columns are dropped.
@@ -26,6 +27,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +38,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LONG = 64
 BUCKETS = 16_384
-BLOCK_ROWS = 12_500
+BLOCK_CHARS, BLOCK_ROWS = 4_000_000, 50_000  # of a block, at most; a longer text is at the end of one
+WORDS_A_TASK = 5_000
 
 _EXACT = regex.compile(PATTERN)
 #: The same cut for pieces of characters whose classes both engines know alike; anything else is cut by the exact pattern.
@@ -142,58 +145,87 @@ def encode_words(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     return short.unionByName(words.where(F.octet_length("word") > LONG).select("word", by_heap("word").alias("ids")))
 
 
-def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """(key, ids) of every row."""
-    ranks = read_ranks(vocabulary)
-    rows = docs.count()
-    blocks = max(8, -(-rows // BLOCK_ROWS))
+def packed(docs: DataFrame, key: str, text: str, block_bytes: int) -> DataFrame:
+    """The documents in blocks, written: (block, k, n, at, words): their keys, the number of words of each, NULL for none to encode,
+    each word's place in the block's dictionary, and the dictionary. Blocks are local to the task that reads the documents."""
     kind = docs.schema[key].dataType.simpleString()
-    keyed = docs.select(F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"), F.col(key).alias("k"), F.col(text).alias("text"))
-
-    def distinct(batches):
-        seen: dict[int, set[str]] = {}
-        words: dict[int, set[str]] = {}
-        for batch in batches:
-            for b, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if t:
-                    seen.setdefault(b, set()).update(pieces(t))
-            for b, s in seen.items():
-                if len(s) > 200_000:
-                    words.setdefault(b, set()).update(w for p in s for w in words_of(p))
-                    s.clear()
-        memo: dict[str, list[str]] = {}
-        for b in sorted(seen):
-            w = words.setdefault(b, set())
-            for p in seen[b]:
-                if p not in memo:
-                    memo[p] = words_of(p)
-                w.update(memo[p])
-            yield pa.RecordBatch.from_arrays([pa.array([b] * len(w), pa.int32()), pa.array(list(w), pa.string())], ["block", "word"])
-
-    held = written(keyed.where(F.col("text").isNotNull()).select("block", "text").mapInArrow(distinct, "block int, word string").distinct(), "words")
-    coded = written(encode_words(held.select("word").distinct(), ranks), "coded")
-    dictionary = held.join(coded, "word").select("block", "word", "ids")
-
-    def put_together(docs: pa.Table, dic: pa.Table) -> pa.Table:
-        ids = dic.column("ids").combine_chunks()
-        flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
-        o = np.r_[0, np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))]
-        of = {w: flat[o[i] : o[i + 1]].tobytes() for i, w in enumerate(dic.column("word").to_pylist())}
 
-        class Pieces(dict):
+    def pack(batches):
+        part, made, schema = TaskContext.get().partitionId(), 0, None
+
+        class Places(dict):  # of the words of a piece
             def __missing__(self, piece):
-                b = b"".join([of[w] for w in words_of(piece)])
+                p = np.array([number.setdefault(w, len(number)) for w in words_of(piece)], np.int32).tobytes()
                 if len(piece) < 100:
-                    self[piece] = b
-                return b
+                    self[piece] = p
+                return p
+
+        number: dict[str, int] = {}
+        places = Places()
+        keys, counts, at, size = [], [], [], 0
+
+        def out():
+            nonlocal made
+            made += 1
+            k = pa.concat_arrays(keys)
+            row = [pa.array([part << 32 | made], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(k)], pa.int32()), k), pa.array([np.array(counts, np.int32).tobytes()], pa.binary())]
+            return pa.RecordBatch.from_arrays([*row, pa.array([b"".join(at)], pa.binary()), pa.array([list(number)], pa.list_(pa.string()))], ["block", "k", "n", "at", "words"])
+
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 500):
+                batch = whole.slice(lo, 500)
+                keys.append(batch.column(0))
+                for t in batch.column(1).to_pylist():
+                    got = b"".join(map(places.__getitem__, pieces(t))) if t else b""
+                    at.append(got)
+                    counts.append(len(got) // 4)
+                    size += len(t) if t else 0
+                if size > block_bytes or sum(map(len, keys)) >= BLOCK_ROWS:
+                    yield out()
+                    number.clear()
+                    places.clear()
+                    keys, counts, at, size = [], [], [], 0
+        if keys:
+            yield out()
+
+    return written(docs.select(key, text).mapInArrow(pack, f"block long, k array<{kind}>, n binary, at binary, words array<string>"), "packed")
 
-        get = Pieces().__getitem__
-        out = [b"".join(map(get, pieces(t))) if t else b"" for t in docs.column("text").to_pylist()]
-        n = np.fromiter(map(len, out), np.int64, len(out)) // 4
-        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(np.frombuffer(b"".join(out), np.int32)))
-        return pa.table({"k": docs.column("k"), "ids": lists})
 
-    both = keyed.groupBy("block").cogroup(dictionary.groupBy("block")).applyInArrow(put_together, f"k {kind}, ids array<int>")
+def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
+    """(key, ids) of every row."""
+    ranks = read_ranks(vocabulary)
+    kind = docs.schema[key].dataType.simpleString()
+    blocks = packed(docs, key, text, BLOCK_CHARS)
+    held = blocks.select(F.col("block").alias("of"), F.posexplode("words").alias("i", "word"))
+    words = written(held.select("word").distinct(), "words")
+    # the fold takes long for its bytes, so words are spread by their number
+    parts = max(1, -(-words.count() // WORDS_A_TASK))
+    coded = written(encode_words(words.repartition(parts), ranks), "coded")
+    dictionary = held.join(coded, "word").select("of", "i", "ids")
+
+    def put_together(block: pa.Table, dic: pa.Table) -> pa.Table:
+        ids = dic.column("ids").combine_chunks()
+        flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+        begin, size = np.zeros(dic.num_rows, np.int64), np.zeros(dic.num_rows, np.int64)
+        n = ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        word = dic.column("i").to_numpy()
+        begin[word], size[word] = np.cumsum(n) - n, n
+        out_k, out_o, out_ids, total = [], [np.zeros(1, np.int64)], [], 0
+        for r in range(block.num_rows):
+            counts = np.frombuffer(block.column("n")[r].as_py(), np.int32).astype(np.int64)
+            at = np.frombuffer(block.column("at")[r].as_py(), np.int32)
+            m = size[at]
+            first = np.cumsum(m) - m
+            out_ids.append(flat[np.repeat(begin[at] - first, m) + np.arange(int(m.sum()))] if len(at) else np.empty(0, np.int32))
+            ends = np.r_[0, np.cumsum(m)][np.cumsum(counts)]
+            out_o.append(ends + total)
+            total += len(out_ids[-1])
+            out_k.append(block.column("k")[r].values)
+        k = pa.concat_arrays(out_k) if out_k else pa.array([], block.schema.field("k").type.value_type)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(out_o).astype(np.int32)), pa.array(np.concatenate(out_ids) if out_ids else np.empty(0, np.int32)))
+        return pa.table({"k": k, "ids": lists})
+
+    both = blocks.select("block", "k", "n", "at").groupBy("block").cogroup(dictionary.groupBy("of")).applyInArrow(put_together, f"k {kind}, ids array<int>")
     return both.select(F.col("k").alias(key), "ids")
 
 
