@@ -10,10 +10,10 @@ Words are taken as they read: letters set apart by points, dashes or blanks are
 letters read as those, drawn-out letters shortened, marks and case left out.
 
 Scale: two narrow passes over the corpus, one for counts, one for scores. Counts are summed in arrays of fixed size within
-each task. The labelled sample is bounded by LABELS documents (those of the smallest hashes), nothing else is.
+each task, then in a tree. The labelled sample is bounded by LABELS documents (those of the smallest hashes), nothing else is.
 
-Defined results: NULL, empty and blank texts score 0 in every category. Without labels of a category nothing is flagged for
-it. A text of any length is scanned whole. Repeated judgements count once; a text judged both flagged and not is flagged.
+Defined results: NULL, empty and blank texts score 0 in every category. With fewer than POSITIVES judged documents of a category
+nothing is flagged for it. A text of any length is scanned whole. Repeated judgements count once; a text judged both flagged and not is flagged.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +38,8 @@ OTHERS = 0.3  # weight of the texts flagged for other categories in the referenc
 DRIFT = 0.35
 LOWEST, HIGHEST = -2.0, 5.0  # log-odds are kept within
 RANGE = 1 << 14
+FAN_IN = 64  # tasks whose counts one task adds up
+POSITIVES = 20  # with fewer judged documents of a category no cut can be set
 CALM_WEIGHT = 5.0  # how much rarer than in the corpus unflagged texts are among the judged ones
 LEAST = math.log(100)  # no passage counts that chance gives once in a hundred texts
 
@@ -115,23 +118,49 @@ def corpus_counts(docs: DataFrame, text: str) -> list[np.ndarray]:
             x, o = reading(pool, b.column(0).to_pylist())
             for k, g in enumerate(grams(x, o)):
                 total[k] += np.bincount(g, minlength=BUCKETS).astype(np.int32)
-        at = [(k, r) for k in range(3) for r in range(BUCKETS // RANGE)]
-        yield pa.RecordBatch.from_arrays([pa.array([k * 4096 + r for k, r in at], pa.int32()), pa.array([total[k, r * RANGE : (r + 1) * RANGE].astype(np.int64).tobytes() for k, r in at], pa.binary())], ["at", "counts"])
-
-    def add(batches):
-        total: dict[int, np.ndarray] = {}
-        for b in batches:
-            for at, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                c = np.frombuffer(c, np.int64)
-                total[at] = total[at] + c if at in total else c
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([c.tobytes() for c in total.values()], pa.binary())], ["at", "counts"])
-
-    schema = "at int, counts binary"
-    got = docs.where(F.col(text).isNotNull()).select(text).mapInArrow(count, schema).repartition(8, "at").mapInArrow(add, schema).collect()
+        group = TaskContext.get().partitionId() // FAN_IN
+        for k in range(3):
+            for r in range(BUCKETS // RANGE):
+                part = total[k, r * RANGE : (r + 1) * RANGE]
+                if part.any():
+                    yield blob(group, k * 4096 + r, part)
+
+    def blob(group, at, counts):
+        """Counts of one range; where most are zero, only the others with their places."""
+        u = np.flatnonzero(counts)
+        sparse = len(u) * 3 < len(counts)
+        data = u.astype(np.int32).tobytes() + counts[u].astype(np.int64).tobytes() if sparse else counts.astype(np.int64).tobytes()
+        return pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), pa.array([at], pa.int32()), pa.array([sparse]), pa.array([data], pa.binary())], ["grp", "at", "sparse", "counts"])
+
+    def adder(whole: bool):
+        def add(batches):
+            total: dict[tuple[int, int], np.ndarray] = {}
+            for b in batches:
+                for group, at, sparse, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
+                    t = total.setdefault((0 if whole else group, at), np.zeros(RANGE, np.int64))
+                    if sparse:
+                        n = len(c) // 12
+                        t[np.frombuffer(c, np.int32, n)] += np.frombuffer(c, np.int64, n, 4 * n)
+                    else:
+                        t += np.frombuffer(c, np.int64)
+            for (group, at), t in total.items():
+                yield blob(group, at, t)
+
+        return add
+
+    # a tree of partial sums: FAN_IN tasks of the corpus into one, then those of each range
+    schema = "grp int, at int, sparse boolean, counts binary"
+    some = docs.where(F.col(text).isNotNull()).select(text).mapInArrow(count, schema).repartition("grp", "at").mapInArrow(adder(False), schema)
+    got = some.repartition(3 * BUCKETS // RANGE, "at").mapInArrow(adder(True), schema).toLocalIterator()
     out = np.zeros((3, BUCKETS), np.float64)
     for r in got:
         k, j = divmod(r["at"], 4096)
-        out[k, j * RANGE : (j + 1) * RANGE] += np.frombuffer(r["counts"], np.int64)
+        c = r["counts"]
+        n = len(c) // 12
+        if r["sparse"]:
+            out[k, j * RANGE + np.frombuffer(c, np.int32, n)] += np.frombuffer(c, np.int64, n, 4 * n)
+        else:
+            out[k, j * RANGE : (j + 1) * RANGE] += np.frombuffer(c, np.int64)
     return list(out)
 
 
@@ -312,8 +341,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
 def best_cut(e: np.ndarray, y: np.ndarray) -> float:
     """The cut of the greatest F1 on held-out labels, in the middle of its gap, where each unflagged text stands for
-    CALM_WEIGHT, as flagged ones are over-represented among the judged; infinite without positives."""
-    if not y.any():
+    CALM_WEIGHT, as flagged ones are over-represented among the judged; infinite with
+    fewer positives than POSITIVES, so that nothing is flagged."""
+    if y.sum() < POSITIVES:
         return math.inf
     order = np.argsort(-e, kind="stable")
     tp = np.cumsum(y[order])
