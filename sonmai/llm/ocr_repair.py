@@ -5,9 +5,9 @@ probabilities, re-estimated from the corpus, give the channel; each line with a
 the candidate words of its tokens. Page furniture is found by structure: page-number forms, and lines that repeat between
 the lines of a document or have the form of such a line elsewhere in the corpus.
 
-Defined results: NULL and blank texts have no damage and come out unchanged, as does a text that is not
-hard-wrapped (fewer than 8 lines, or a line of 100 characters or more): it comes from no page scan. Words
-of agency and signer lines are spelt as people typed them and are not corrected. Whole texts are read, of any length.
+Defined results: NULL and blank texts have no damage and come out unchanged, as does a text without a trace of pages: no
+line runs on in the next, no page number stands between lines, and it isn't made of many short lines. The names at its
+beginning and end are spelt as people typed them and are not corrected; sentences there are. Whole texts are read, of any length.
 Corpus counts cover all rows; the model keeps what occurs in at least a fixed share of rows, so its size is bounded by
 the mean row, not by their number. Repeated rows count as often as they stand. Extra columns are dropped.
 """
@@ -40,7 +40,7 @@ _EDGE = ".,;:!?\"“”‘’)[]|…"
 WORD_SHARE, PAIR_SHARE = 3e-4, 1e-4
 #: A word this many times rarer than one it may be a misreading of is no word of the lexicon.
 RARER = 200
-WRAP = 100  # lines of a scan are shorter than this
+WRAP, LEAST = 100, 36  # lines of a scan are shorter than this; one that runs on is at least so long
 
 _TONES = ("aàảãáạ", "ăằẳẵắặ", "âầẩẫấậ", "eèẻẽéẹ", "êềểễếệ", "iìỉĩíị", "oòỏõóọ", "ôồổỗốộ", "ơờởỡớợ", "uùủũúụ", "ưừửữứự", "yỳỷỹýỵ")
 _FAMILY = {"a": "aăâ", "e": "eê", "i": "i", "o": "oôơ", "u": "uư", "y": "y"}
@@ -62,11 +62,31 @@ def _fold_line(s: str) -> str:
 _FOLDED = Cache(_fold_line, 50_000)
 
 
-def is_scan(lines: list[str]) -> bool:
-    """Hard-wrapped as by a page: no long line, and enough lines."""
+def is_page(lines: list[str]) -> bool:
     return len(lines) >= 8 and max(map(len, lines)) < WRAP
 
 
+def runs_on(line: str, after: str) -> bool:
+    """Whether a line as long as a page's goes on in the next one."""
+    end = line.rstrip()
+    return LEAST <= len(line) < WRAP and len(after) < WRAP and (end[-1].isalpha() or end[-1] in HYPHENS or end[-1] == ",") and bool(_LOWER.match(after))
+
+
+def is_scan(lines: list[str]) -> bool:
+    """Hard-wrapped as by a page: many lines and no long one; or, in texts of any size, a line that runs on in the next one, or
+    a page number between lines."""
+    if is_page(lines):
+        return True
+    last = len(lines) - 1
+    for i, line in enumerate(lines):
+        if i < last and runs_on(line, lines[i + 1]):
+            return True
+        s = line.strip()
+        if 0 < i < last and len(s) <= 16 and s and not s.isdigit() and PAGE_FORMS.fullmatch(s):
+            return True
+    return False
+
+
 def furniture(lines: list[str], forms: frozenset | set = frozenset()) -> tuple[set[int], set[int]]:
     """The indexes of running headers and of page numbers among the lines of one scan. forms: beginnings of headers."""
     pages, keys, heads = set(), {}, set()
@@ -150,7 +170,7 @@ def corpus_counts(df: DataFrame, key: str, text: str) -> DataFrame:
     """(kind, a, b, n): rows holding a word (w), occurrences of a pair of words (p), rows with a header form (h), rows (r).
 
     Counted within each task first, so what is shuffled is one row per task and distinct word or pair, however
-    often a text is repeated; a pair seen once in a task isn't sent on.
+    often a text is repeated.
     """
 
     def count(batches):
@@ -336,6 +356,16 @@ def _recase(token: str, key: str, word: str) -> str:
     return token[:i] + new + token[i + len(key) :]
 
 
+def _is_name(lines: list[str], i: int) -> bool:
+    """Whether the first or the last line of a page may hold a name: it ends in no sentence, and none runs through it."""
+    s = lines[i].strip()
+    if s[-1:] in ".;,!?" or len(s) >= WRAP:
+        return False
+    if i == 0:
+        return len(lines) < 2 or not runs_on(s, lines[1])
+    return s.count(" ") < 8
+
+
 def repair(text: str, model: Model, known: Cache, odd: bool = True) -> tuple[str, int, int, int, int]:
     """The repaired text and the numbers of cut words, misread words, headers and page numbers in it."""
     lines = text.split("\n")
@@ -347,13 +377,15 @@ def repair(text: str, model: Model, known: Cache, odd: bool = True) -> tuple[str
     heads, pages = furniture(lines, model.forms)
     kept = [x for i, x in enumerate(lines) if i not in heads and i not in pages]
     last = max((i for i, x in enumerate(kept) if x.strip()), default=-1)
-    width = max(map(len, kept), default=0)
-    title = None if kept and kept[0].startswith("Số") else _FOLDED[kept[0].strip()] if kept else None
+    width = max((len(x) for x in kept if len(x) < WRAP), default=0)
+    page = is_page(lines)
+    named = {i for i in (0, last) if i >= 0 and _is_name(kept, i)}
+    title = _FOLDED[kept[0].strip()] if 0 in named and not kept[0].startswith("Số") else None
     out: list[str] = []
     typed: set[int] = set()  # lines that hold an agency or a signer
     free, prev = True, ""  # free: the next line begins a paragraph
     for i, line in enumerate(kept):
-        if i in (0, last) or (title and len(line) < WRAP and line[:1] in "#" + kept[0][:1].lower() + kept[0][:1] and _FOLDED[line.strip()] == title):
+        if i in named or (title and len(line) < WRAP and line[:1] in "#" + kept[0][:1].lower() + kept[0][:1] and _FOLDED[line.strip()] == title):
             typed.add(len(out))
             out.append(line)
             free = False
@@ -363,7 +395,8 @@ def repair(text: str, model: Model, known: Cache, odd: bool = True) -> tuple[str
             n_hyphen += 1
         else:
             first = line.split(None, 1)
-            if out and not free and first and len(out) - 1 not in typed and len(prev.rstrip()) + 1 + len(first[0]) > width:
+            full = len(prev.rstrip()) + 1 + len(first[0]) > width if page and first else runs_on(prev, line)
+            if out and not free and first and len(out) - 1 not in typed and full:
                 out[-1] += " " + line.strip()
             else:
                 out.append(line)

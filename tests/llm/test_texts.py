@@ -205,3 +205,20 @@ def test_held_out_accuracy(spark):
     r = abuse.rates(docs, lab)
     assert r.agg(F.sum("n_docs")).collect()[0][0] == 604
     assert abuse.found(docs, lab.where("false")).count() == 0 and abuse.found(docs.where("false"), lab).count() == 0
+
+
+def test_small_and_mixed_pages_are_repaired_alike_in_any_split(spark, labels):
+    rng = random.Random(12)
+    words = " ".join(rng.choice(SENTENCES).format(*[rng.randint(100, 9999) for _ in range(3)]) + "." for _ in range(3)).split()
+    small = "\n".join(["SỞ NỘI VỤ TỈNH A", "Ban đại diện quản lý chợ tiếp nhận nhiều hồ sơ của các hộ kinh do-", "anh trong tháng này.", "Trang 2", "Phòng kế hoạch điều chỉnh dự toán xây dựng theo quyết định của ủy", "ban.", "Nguyễn Văn A"])
+    long = " ".join(words * 6)
+    mixed = "\n".join(["SỞ NỘI VỤ TỈNH A", long, "Các đơn vị chủ động kiểm tra thiết bị phòng cháy tại hiện trư-", "ờng trong tuần.", "- 3 -", "Nguyễn Văn A"])
+    body = "\n".join(["Các đơn vị chủ động kiểm tra tliiết bị phòng cháy tại hiện trường,", "phòng kế hoạch điều chỉnh dự toán xây dựng theo quyết địnli của ủy ban."])
+    rows = [(i, page(rng, set())) for i in range(1, 60)] + [(100, small), (101, mixed), (102, body), (103, "một\nhai\nba")]
+    t = labels(rows)
+    got = [{r.label_id: (r.repaired, r.n_hyphen, r.n_chars, r.n_header, r.n_pageno) for r in ocr_repair.repair_texts(t.repartition(k, "label_id"), "label_id", "full_text").collect()} for k in (1, 8)]
+    assert got[0] == got[1]
+    assert got[0][100][1:] == (1, 0, 0, 1) and "kinh doanh" in got[0][100][0] and "của ủy ban." in got[0][100][0]
+    assert got[0][101][1] == 1 and got[0][101][4] == 1 and "hiện trường trong tuần." in got[0][101][0] and long in got[0][101][0]
+    assert got[0][102][2] == 2 and "thiết bị" in got[0][102][0] and "quyết định" in got[0][102][0]
+    assert got[0][103][0] == "một\nhai\nba"
