@@ -4,8 +4,9 @@ Method: decompose, replace every character by its prototype from a look-alike ta
 equal skeletons are one group. The consistent form recomposes the prototype text with composed Vietnamese letters.
 
 Defined results: NULL stays NULL, '' stays ''. Line breaks, tabs and typographic quotes and dashes are ordinary. A
-letter of another script is replaced only inside words whose letters of that script all have Latin prototypes, so words
-of another script used in their own right stay. Texts of any length are processed whole. Extra columns are kept.
+letter of another script is replaced inside words that mix it with Latin letters, if all its letters there have a Latin
+prototype in Unicode's table of confusables, and in words wholly of it if all are in the fixed table below, so words of
+another script used in their own right stay. Texts of any length are processed whole. Extra columns are kept.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Cache
@@ -47,8 +48,8 @@ _MARKED = re.compile(r"[^\W\d_][\u0300-\u036f]+")
 
 
 def _script(c: str) -> str:
-    o = ord(c)
-    return "L" if o < 0x370 or 0x1E00 <= o < 0x1F00 else "G" if o < 0x400 or 0x1F00 <= o < 0x2000 else "C" if o < 0x530 else "A" if o < 0x590 else "?"
+    """The script of a letter, by the first word of its name."""
+    return "LATIN" if ord(c) < 0x370 or 0x1E00 <= ord(c) < 0x1F00 else unicodedata.name(c, "?").split(" ", 1)[0]
 
 
 def _same_look(c: str) -> str:
@@ -63,42 +64,86 @@ def _marks(m: re.Match) -> str:
     return m.group()[0] + "".join(marks)
 
 
-def _word(m: re.Match) -> str:
-    w = m.group()
-    letters = [c for c in w if not unicodedata.combining(c)]
-    own = {_script(c) for c in letters if _script(c) != "L" and c not in LOOKALIKES}
-    if own and all(_script(c) in own for c in letters):  # a word of another script
-        return w
-    if len(w) == 1 and w in "αβγηιμνρτυχκ":  # a single small Greek letter is a sign
-        return w
-    return "".join(LOOKALIKES.get(c, c) for c in w)
+class Forms:
+    """Consistent forms under a table of look-alikes: the fixed ones everywhere, those of more within words that mix scripts."""
+
+    def __init__(self, more: dict[str, str] | None = None):
+        self.more = {**(more or {}), **LOOKALIKES}
+        self.tokens = Cache(self.token, 100_000)
+
+    def word(self, m: re.Match) -> str:
+        w = m.group()
+        letters = [c for c in w if not unicodedata.combining(c)]
+        scripts = {_script(c) for c in letters}
+        if "LATIN" in scripts and len(scripts) > 1:  # a word that mixes scripts
+            if all(_script(c) == "LATIN" or c in self.more for c in letters):
+                return "".join(self.more.get(c, c) for c in w)
+        own = {_script(c) for c in letters if _script(c) != "LATIN" and c not in LOOKALIKES}
+        if own and all(_script(c) in own for c in letters):  # a word of another script
+            return w
+        if len(w) == 1 and w in "αβγηιμνρτυχκ":  # a single small Greek letter is a sign
+            return w
+        return "".join(LOOKALIKES.get(c, c) for c in w)
+
+    def token(self, t: str) -> str:
+        if t.isascii() or (not _ODD.search(t) and unicodedata.is_normalized("NFC", t)):
+            return t
+        t = _WORD.sub(self.word, unicodedata.normalize("NFD", "".join(map(_same_look, t))))
+        return unicodedata.normalize("NFC", _MARKED.sub(_marks, t).replace("D\u0335", "Đ").replace("d\u0335", "đ"))
+
+    def consistent(self, s: str | None) -> str | None:
+        if not s:
+            return s
+        s = _SPACE.sub(" ", _UNSEEN.sub("", s))
+        return " ".join([self.tokens[t] if len(t) < 64 else self.token(t) for t in s.split(" ")])
+
+    def skeleton(self, s: str | None) -> str | None:
+        """Decomposed, each character replaced by its prototype wherever it stands, decomposed again."""
+        if not s:
+            return s
+        s = unicodedata.normalize("NFD", "".join(map(_same_look, _SPACE.sub(" ", _UNSEEN.sub("", s)))))
+        s = unicodedata.normalize("NFD", "".join([self.more.get(c, c) for c in s]))
+        return _MARKED.sub(_marks, s).replace("Đ", "D\u0335").replace("đ", "d\u0335")
+
+
+PLAIN_FORMS = Forms()
+
+
+def unicode_table(spark: SparkSession) -> dict[str, str]:
+    """Letters outside Latin and the ASCII letter of the same prototype in Unicode's table of confusables, as the ICU library in
+    Spark's own class path has it. Of fixed size; where several letters share a prototype, the one of the same case."""
+    checker = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+
+    def prototypes(chars: list[str]) -> list[str]:
+        out = []
+        for i in range(0, len(chars), 4000):
+            out += checker.getSkeleton("\n".join(chars[i : i + 4000])).split("\n")
+        return out
+
+    ascii_ = [chr(o) for o in (*range(0x41, 0x5B), *range(0x61, 0x7B))]
+    of: dict[str, list[str]] = {}
+    for c, p in zip(ascii_, prototypes(ascii_)):
+        of.setdefault(p, []).append(c)
+    others = [c for c in map(chr, range(0x370, 0x20000)) if unicodedata.category(c)[0] in "LN" and unicodedata.category(c) not in ("Nd", "No") and _script(c) != "LATIN" and unicodedata.is_normalized("NFD", c)]
+    table = {}
+    for c, p in zip(others, prototypes(others)):
+        twins = of.get(p)
+        if twins:
+            table[c] = next((x for x in twins if x.isupper() == c.isupper()), twins[0])
+    return table
 
 
-def _token(t: str) -> str:
-    if t.isascii() or (not _ODD.search(t) and unicodedata.is_normalized("NFC", t)):
-        return t
-    t = _WORD.sub(_word, unicodedata.normalize("NFD", "".join(map(_same_look, t))))
-    return unicodedata.normalize("NFC", _MARKED.sub(_marks, t).replace("D\u0335", "Đ").replace("d\u0335", "đ"))
-
-
-_TOKENS = Cache(_token, 100_000)
 _UNSEEN, _SPACE = re.compile(f"[{INVISIBLE}]"), re.compile(f"[{SPACES}]")
 
 
 def consistent(s: str | None, odd: bool | None = None) -> str | None:
-    """The one consistent form of a text. odd: what suspicious() says of it, where that is known."""
-    if not s or not (_ODD.search(s) if odd is None else odd):
-        return s
-    s = _SPACE.sub(" ", _UNSEEN.sub("", s))
-    return " ".join([_TOKENS[t] if len(t) < 64 else _token(t) for t in s.split(" ")])
+    """The one consistent form of a text under the fixed look-alikes. odd: what suspicious() says of it, where that is known."""
+    return PLAIN_FORMS.consistent(s) if s and (_ODD.search(s) if odd is None else odd) else s
 
 
 def skeleton(s: str | None) -> str | None:
-    """The skeleton: the consistent form decomposed, each character replaced by its prototype wherever it stands, decomposed again."""
-    if not s:
-        return s
-    d = unicodedata.normalize("NFD", consistent(s))
-    return unicodedata.normalize("NFD", "".join(LOOKALIKES.get(c, c) for c in d))
+    """The skeleton of a text under the fixed look-alikes."""
+    return PLAIN_FORMS.skeleton(s)
 
 
 def suspicious(c: Column) -> Column:
@@ -149,31 +194,48 @@ def odd_flags(column: pa.Array) -> list[bool]:
     return out.tolist()
 
 
-def _apply(f):
+def _apply(method: str, more: dict[str, str]):
+    """A UDF of one method of the forms under a table, which is of fixed size and travels with the function."""
+
     @F.pandas_udf("string")
     def g(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        f = getattr(Forms(more), method)
         for s in it:
             yield s.map(f, na_action="ignore")
 
     return g
 
 
-def consistent_column(c: Column) -> Column:
+def consistent_column(c: Column, more: dict[str, str]) -> Column:
     """Only values with an unusual character travel to Python; the others stay in the JVM."""
     odd = suspicious(c)
-    return F.when(odd, _apply(consistent)(F.when(odd, c))).otherwise(c)
+    return F.when(odd, _apply("consistent", more)(F.when(odd, c))).otherwise(c)
 
 
 def with_consistent(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Adds the consistent form of each value: {new column: expression of the value}."""
-    return df.withColumns({new: consistent_column(F.expr(old)) for new, old in columns.items()})
+    more = unicode_table(df.sparkSession)
+    return df.withColumns({new: consistent_column(F.expr(old), more) for new, old in columns.items()})
 
 
 def inconsistent_values(df: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
-    """One row (key, field, value, consistent) for each value whose stored form is not its consistent form."""
+    """One row (key, field, value, consistent) for each value that isn't the plainest of those with its skeleton.
+
+    The plainest spelling of a skeleton is the consistent form; a value that differs from it and has its skeleton is coded
+    otherwise.
+    """
+    more = unicode_table(df.sparkSession)
+
+    @F.pandas_udf("consistent string, same boolean")
+    def looked_at(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        forms = Forms(more)
+        for s in it:
+            c = [forms.consistent(x) for x in s]
+            yield pd.DataFrame({"consistent": c, "same": [x == y or forms.skeleton(x) == forms.skeleton(y) for x, y in zip(s, c)]})
+
     long = df.select(key, F.inline(F.array(*[F.struct(F.lit(n).alias("field"), F.expr(e).alias("value")) for n, e in fields.items()])))
-    long = long.where(F.col("value").isNotNull() & suspicious(F.col("value")))
-    return long.withColumn("consistent", _apply(consistent)("value")).where("NOT (value <=> consistent)")
+    long = long.where(F.col("value").isNotNull() & suspicious(F.col("value"))).withColumn("looked", looked_at("value"))
+    return long.where("looked.same AND NOT (value <=> looked.consistent)").select(key, "field", "value", "looked.consistent")
 
 
 def skeleton_groups(df: DataFrame, value: str) -> DataFrame:
@@ -182,6 +244,7 @@ def skeleton_groups(df: DataFrame, value: str) -> DataFrame:
     Rows are counted per spelling first, so a spelling that a third of all rows hold is one row before the second
     shuffle, and no group is gathered anywhere.
     """
+    more = unicode_table(df.sparkSession)
     spelt = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    spelt = spelt.withColumn("skeleton", _apply(skeleton)("v")).withColumn("c", consistent_column(F.col("v")))
+    spelt = spelt.withColumn("skeleton", _apply("skeleton", more)("v")).withColumn("c", consistent_column(F.col("v"), more))
     return spelt.groupBy("skeleton").agg(F.min("c").alias("consistent"), F.sum("n").alias("n_rows"), F.count("*").alias("n_spellings"))
