@@ -5,7 +5,9 @@ their deletion neighbourhoods; a value looks up its own deletions, candidates ar
 distance, then by how often the entry itself occurs in all rows, spelled exactly, then by the value's plain distance to
 its name. Values without a candidate in the bound are reported as misses.
 
-Scale: distinct values are mapped, each once. The reference list is broadcast; its length is checked against LIST_MOST.
+Scale: distinct values are mapped, each once. The dictionary is built once on the driver and broadcast, in parts of at most
+PART entries and PART_BYTES; a longer list is more parts, each value takes the best entry of all, so no length is too great.
+A value that a great part of the rows hold meets its entry in a join whose skewed partitions Spark splits.
 
 Defined results: NULL and blank values are left out; an empty list makes every value a miss. A value that is exactly an
 entry maps to it with distance 0. Entries with NULL names are ignored; of equal names the smaller id counts.
@@ -13,6 +15,7 @@ entry maps to it with distance 0. Entries with NULL names are ignored; of equal
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter, defaultdict
 
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 from .confusables import consistent
 from .names import Index, compact, distance, fold, short_forms
 
-LIST_MOST = 20_000
+PART, PART_BYTES = 4_000, 64 << 20  # of the list in one broadcast dictionary, at most
 # Words people put around the name of a kind of document.
 AROUND = ("van ban", "so", "loai", "mau")
 
@@ -54,7 +57,7 @@ class Types:
         self.exact = {}
         self.codes: dict[str, int] = {}
         self.folded_codes: dict[str, set[int]] = defaultdict(set)
-        self.index, self.index2, self.cut = Index(1), Index(2), defaultdict(set)
+        self.index, self.index2, self.cut, self.near_cut = Index(1), Index(2), defaultdict(set), Index(1)
         self.names = {i: n for i, n, _ in refs}
         for i, name, code in sorted(refs, reverse=True):
             self.exact[_tidy(name)] = i
@@ -67,7 +70,9 @@ class Types:
                 self.codes[_tidy(code)] = i
                 self.folded_codes["".join(fold(code))].add(i)
             if len(w) > 1:
-                self.cut[w[0][0] + " " + " ".join(w[1:])].add(i)
+                form = w[0][0] + " " + " ".join(w[1:])
+                self.cut[form].add(i)
+                self.near_cut.add(form, i)
 
     def find(self, value: str) -> tuple[int, float]:
         t = _tidy(value)
@@ -86,7 +91,7 @@ class Types:
                 return next(iter(self.cut[" ".join(w)])), 0.15
             got = self.index.find(c) if len(c) >= 4 else [x for x in self.index.find(c) if x[0] == 0]
             if len(w) > 1 and len(w[0]) == 1 and not got:  # an initial, and a slip in the rest
-                got = [(distance(" ".join(w), k, 1) + 0.5, k, i) for k, s in self.cut.items() if len(s) == 1 and distance(" ".join(w), k, 1) <= 1 for i in s]
+                got = [(d + 0.5, k, i) for d, k, i in self.near_cut.find(" ".join(w)) if len(self.cut[k]) == 1]
             if not got and len(c) >= 8:
                 got = self.index2.find(c)
             if got:
@@ -131,8 +136,6 @@ class Agencies:
                 self.of[kind, place] = i
                 weight[place] += 1
                 self.whole.add(place + kind, i, 0.05)
-        for s in {s for i, _, s in refs if s}:
-            pass
         for i, _, s in refs:
             if s and i in self.names:
                 self.whole.add(compact(fold(s)), i, 0.1, most=1)
@@ -180,41 +183,58 @@ def entry_uses(values: DataFrame, reference: list[tuple[int, str, str | None]])
     if not ids:
         return {}
     names = values.sparkSession.createDataFrame([(n,) for n in ids], "value string")
-    return {ids[r.value]: r.n for r in values.join(F.broadcast(names), "value").groupBy("value").agg(F.count("*").alias("n")).collect()}
+    return {ids[r.value]: r.n for r in values.join(names, "value").groupBy("value").agg(F.count("*").alias("n")).collect()}
+
+
+def dictionaries(reference: list[tuple[int, str, str | None]], kind: str, uses: dict[int, int] | None) -> list[bytes]:
+    """The list as dictionaries of bounded size, packed: its exact names, and the finder of the others."""
+    refs = [(int(i), n, s) for i, n, s in reference if i is not None and n]
+
+    def packed(part):
+        exact = {n: i for i, n, _ in sorted(part, reverse=True)}
+        blob = pickle.dumps((exact, (Types if kind == "type" else Agencies)(part, {i: (uses or {}).get(i, 0) for i, _, _ in part})))
+        return [blob] if len(blob) <= PART_BYTES or len(part) < 2 else [x for half in (part[: len(part) // 2], part[len(part) // 2 :]) for x in packed(half)]
+
+    return [x for at in range(0, max(1, len(refs)), PART) for x in packed(refs[at : at + PART])]
 
 
 def map_values(values: DataFrame, reference: list[tuple[int, str, str | None]], kind: str, uses: dict[int, int] | None = None) -> DataFrame:
-    """values: (value). uses: how often each entry occurs, which settles ties. Adds ref_id (0 for none) and distance."""
-    if len(reference) > LIST_MOST:
-        raise ValueError(f"the reference list has {len(reference)} entries; at most {LIST_MOST} are broadcast")
-    refs = values.sparkSession.sparkContext.broadcast([(int(i), n, s) for i, n, s in reference if i is not None and n])
+    """values: (value), distinct. uses: how often each entry occurs, which settles ties. Adds ref_id (0 for none), distance, and exact, whether the value is an entry's name."""
+    uses = uses or {}
+    parts = dictionaries(reference, kind, uses)
+    out = None
+    for blob in parts:
+        shared = values.sparkSession.sparkContext.broadcast(blob)
 
-    def run(batches):
-        m = (Types if kind == "type" else Agencies)(refs.value, uses)
-        exact = {}
-        for i, n, _ in sorted(refs.value, reverse=True):
-            exact[n] = i
-        for pdf in batches:
-            got = [(exact[v], 0.0) if v in exact else m.find(v) for v in pdf["value"]]
-            yield pd.DataFrame({"value": pdf["value"], "ref_id": pd.Series([g[0] for g in got], dtype="int64"), "distance": pd.Series([float(g[1]) for g in got], dtype="float64")})
+        def run(batches, shared=shared):
+            exact, m = pickle.loads(shared.value)
+            for pdf in batches:
+                got = [(exact[v], 0.0) if v in exact else m.find(v) for v in pdf["value"]]
+                n = [m.uses.get(g[0], 0) for g in got]
+                yield pd.DataFrame({"value": pdf["value"], "ref_id": pd.Series([g[0] for g in got], dtype="int64"), "distance": pd.Series([float(g[1]) for g in got], dtype="float64"), "exact": [v in exact for v in pdf["value"]], "n": pd.Series(n, dtype="int64")})
 
-    return values.select("value").mapInPandas(run, "value string, ref_id long, distance double")
+        one = values.select("value").mapInPandas(run, "value string, ref_id long, distance double, exact boolean, n long")
+        out = one if out is None else out.unionByName(one)
+    if len(parts) == 1:
+        return out.drop("n")
+    best = F.min_by(F.struct("ref_id", "distance", "exact"), F.struct(~F.col("exact"), "distance", -F.col("n"), "ref_id"))
+    return out.groupBy("value").agg(best.alias("b")).select("value", "b.*")
 
 
 def canonical_map(df: DataFrame, key: str, fields: dict[str, tuple[str, list, str]]) -> DataFrame:
-    """(key, field, value, ref_id, distance) of every non-blank value. fields: name -> (expression, reference rows, 'type' or 'agency')."""
+    """(key, field, value, ref_id, distance, exact) of every non-blank value. fields: name -> (expression, reference rows, 'type' or 'agency')."""
     out = None
     for name, (expr, reference, kind) in fields.items():
         rows = df.select(key, F.expr(expr).alias("value")).where(F.length(F.regexp_replace("value", r"(?U)\s", "")) > 0)
-        mapped = map_values(rows.select("value").distinct(), reference, kind, entry_uses(rows, reference[:LIST_MOST]))
-        one = rows.join(mapped, "value").select(key, F.lit(name).alias("field"), "value", "ref_id", "distance")
+        mapped = map_values(rows.select("value").distinct(), reference, kind, entry_uses(rows, reference))
+        one = rows.join(mapped, "value").select(key, F.lit(name).alias("field"), "value", "ref_id", "distance", "exact")
         out = one if out is None else out.unionByName(one)
     return out
 
 
 def reference_rows(ref: DataFrame, key: str, name: str, short: str) -> list[tuple[int, str, str | None]]:
-    """The rows of a reference list, at most one more than may be broadcast."""
-    return [tuple(r) for r in ref.select(key, name, short).limit(LIST_MOST + 1).collect()]
+    """The rows of a reference list, which the driver cuts into dictionaries."""
+    return [tuple(r) for r in ref.select(key, name, short).toLocalIterator()]
 
 
 def misses(mapped: DataFrame) -> DataFrame:

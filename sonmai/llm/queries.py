@@ -75,21 +75,16 @@ def _canonical(spark, d):
     types = canonical.reference_rows(table(spark, d, "doc_type_ref"), "type_id", "name", "code")
     agencies = canonical.reference_rows(table(spark, d, "agency_ref"), "agency_id", "name", "short_name")
     fields = {"loai_van_ban": ("extraction.loai_van_ban", types, "type"), "co_quan_ban_hanh": ("extraction.co_quan_ban_hanh", agencies, "agency")}
-    known = {"loai_van_ban": {n for _, n, _ in types}, "co_quan_ban_hanh": {n for _, n, _ in agencies}}
-    return canonical.canonical_map(table(spark, d, "bench_labels"), "label_id", fields), known
+    return canonical.canonical_map(table(spark, d, "bench_labels"), "label_id", fields)
 
 
 def p6_found(spark, d):
-    mapped, known = _canonical(spark, d)
-    exact = [(F.col("field") == f) & F.col("value").isin(sorted(n)) for f, n in known.items() if n]
-    for e in exact:
-        mapped = mapped.where(~e)
-    return mapped.select("label_id", "field", "ref_id")
+    return _canonical(spark, d).where("NOT exact").select("label_id", "field", "ref_id")
 
 
 def p6_misses(spark, d):
     """Values that fit no entry, with their numbers of rows."""
-    return canonical.misses(_canonical(spark, d)[0])
+    return canonical.misses(_canonical(spark, d))
 
 
 def _entities(spark, d):

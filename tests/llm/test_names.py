@@ -36,8 +36,18 @@ def test_map_rows(spark):
     assert [(r.value, r.n) for r in canonical.misses(canonical.canonical_map(t, "label_id", fields)).collect()] == [("Tổ hội", 2)]
     assert {r.ref_id for r in canonical.canonical_map(t, "label_id", {"k": ("kind", [], "type")}).collect()} == {0}
     assert canonical.canonical_map(t.where("false"), "label_id", fields).count() == 0
-    with pytest.raises(ValueError):
-        canonical.map_values(t.select("value"), [(i, str(i), None) for i in range(canonical.LIST_MOST + 1)], "type")
+
+
+def test_long_lists_are_cut_into_dictionaries(spark, monkeypatch):
+    refs = AGENCIES + [(100 + i, f"Trạm Bơm số {i} huyện Gò {chr(97 + i % 26)}", None) for i in range(60)]
+    values = [v for _, n, s in AGENCIES for v in (n, s, n.upper(), n[:-1])] + ["Tổ hội Nuôi ong", "Trạm Bơm số 7 huyện Gò h"]
+    t = spark.createDataFrame([(v,) for v in values], "value string").distinct()
+    whole = {r.value: r.ref_id for r in canonical.map_values(t, refs, "agency").collect()}
+    monkeypatch.setattr(canonical, "PART", 10)
+    cut = {r.value: (r.ref_id, r.exact) for r in canonical.map_values(t, refs, "agency").collect()}
+    assert {v: i for v, (i, _) in cut.items()} == whole and cut["Sở Y tế tỉnh Xuân Kiệu"] == (1, True) and cut["Trạm Bơm số 7 huyện Gò h"] == (107, True) and cut["Tổ hội Nuôi ong"][0] == 0
+    monkeypatch.setattr(canonical, "PART_BYTES", 20_000)
+    assert len(canonical.dictionaries(refs, "agency", None)) > 7
 
 
 PEOPLE = {
