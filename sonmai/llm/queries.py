@@ -96,6 +96,11 @@ def p7_found(spark, d):
     return variants.linked(_entities(spark, d))
 
 
+def p7_classes(spark, d):
+    """Every spelling with its entity and the number of spellings it is linked to."""
+    return variants.classes(_entities(spark, d))
+
+
 def p7_entities(spark, d):
     """Spellings and rows of each entity."""
     return _entities(spark, d).groupBy("field", "entity").agg(F.count("*").alias("n_spellings"), F.sum("n").alias("n_rows"))
@@ -142,7 +147,7 @@ def p10_rates(spark, d):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_groups, p2_found, p2_pieces, p3_found, p3_repaired, p4_found, p4_report, p5_found, p5_consistent, p5_groups, p6_found, p6_misses, p7_found, p7_entities, p8_ids, p8_roundtrip, p9_found, p9_near, p9_report, p10_found, p10_scores, p10_rates)
+    for f in (p1_found, p1_groups, p2_found, p2_pieces, p3_found, p3_repaired, p4_found, p4_report, p5_found, p5_consistent, p5_groups, p6_found, p6_misses, p7_found, p7_classes, p7_entities, p8_ids, p8_roundtrip, p9_found, p9_near, p9_report, p10_found, p10_scores, p10_rates)
 }
 
 def _words(table: str, key: str) -> str:

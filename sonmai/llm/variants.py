@@ -3,11 +3,12 @@
 Method: the words names are made of (kinds of bodies, places, family and given names) are learned from the values
 themselves and indexed by their symmetric-delete neighbourhoods; a value's tokens look up the words within one edit. Its
 parts are then aligned at the lowest cost, in either order, where initials, abbreviations and runs of initials stand for
-words and parts may be missing; a person's middle names are assigned optimally to those of the person meant. Values with
-the same entity are linked.
+words and parts may be missing. A person's middle names are assigned optimally to those of the persons of that family and given name:
+middle names that can't be assigned to one another are different persons'. Values with the same entity are linked.
 
-Scale: distinct values are aligned, each once, in a narrow map; ambiguous ones meet the known full names in a join. What is
-broadcast are words, not names, with a bound of LEXICON entries each. Pairs are made within an entity only.
+Scale: all distinct values are counted for the words, which are summed before they are collected; what is collected and
+broadcast has a share of the rows, so its number is bounded. Distinct values are aligned, each once, in a narrow map.
+classes() gives each spelling its entity and its number of links; pairs are made within an entity only where they are wanted.
 
 Defined results: NULL and blank values are left out. A value that can't be aligned is an entity with the values that fold
 to the same words. Rows are counted before anything else, so repeated rows cost nothing. Empty tables give no rows.
@@ -27,7 +28,10 @@ from .common import strip_marks, written
 from .confusables import consistent
 from .names import Index, compact, distance, fold, short_forms
 
-LEXICON = 50_000
+#: Shares of the rows from which on a beginning may be a kind of body, a place of a kind counts, a word is a family or a given name.
+KIND_SHARE, PLACE_SHARE, FAMILY_SHARE, GIVEN_SHARE = 3e-4, 1e-5, 1e-3, 5e-4
+MID_SHARE = 0.02  # of the rows of a family and given name, for middle names to be those of a person
+OTHER = 1.5  # the cost of a name assigned to another one
 # Forms of address and degrees before a name.
 TITLES = re.compile(r"^\s*(?:(?:PGS|GS|ThS|TS|BS|KS|LS|CN|Đ/c|Ông|Bà|Mr|Ms|Mrs)\b[.\s]*)+", re.IGNORECASE)
 _ASIDE = re.compile(r"[“\"][^”\"]*[”\"]|\([^)]*\)")
@@ -56,28 +60,8 @@ def _near(w: str) -> set[str]:
 class Bodies:
     """Kinds and places learned from values; parse() gives the entity of a value."""
 
-    def __init__(self, values: list[tuple[str, int]]):
-        seqs: Counter = Counter()
-        for v, n in values:
-            if "-" not in v:
-                w = tuple(fold(v))
-                if w:
-                    seqs[w] += n
-        after: dict[tuple, Counter] = defaultdict(Counter)
-        rests: dict[tuple, Counter] = defaultdict(Counter)
-        for w, n in seqs.items():
-            for i in range(2, len(w)):
-                after[w[:i]][w[i]] += n
-                rests[w[: i + 1]][w[i + 1 :]] += n
-        total = sum(seqs.values()) or 1
-        found: dict[tuple, int] = {}
-        for p, nxt in after.items():  # several words may follow a kind, and each begins one place or two
-            n = sum(nxt.values())
-            top = nxt.most_common(2)
-            if len(nxt) < 2 or top[1][1] < 0.05 * n or n < 3e-4 * total:
-                continue
-            if all(sum(c >= 0.05 * k for c in rests[(*p, x)].values()) <= 3 for x, k in top):
-                found[p] = n
+    def __init__(self, found: dict[tuple, int]):
+        """found: beginnings that several words follow, with their rows."""
         found = {p: n for p, n in found.items() if not any(p[:i] in found for i in range(2, len(p)))}
         # kinds that are a slip or a short form of a greater one are that one
         order = sorted(found, key=lambda p: (-len(compact(list(p))), -found[p]))
@@ -95,13 +79,14 @@ class Bodies:
         for f, owners in forms.items():
             for k, x in owners.items():
                 self.kinds.add(f, k, x, most=1 if len(f) > 4 else 0)
+        self.heads = set(heads)
+
+    def learn_places(self, pairs: dict[tuple[str, str], int]) -> None:
+        """pairs: (kind, place) with their rows."""
+        self.pairs = Counter(pairs)
         places: Counter = Counter()
-        self.pairs: Counter = Counter()
-        for w, n in seqs.items():
-            for p in heads:
-                if w[: len(p)] == p and len(w) > len(p):
-                    places[compact(list(w[len(p) :]))] += n
-                    self.pairs[compact(list(p)), compact(list(w[len(p) :]))] += n
+        for (_, p), n in sorted(pairs.items()):
+            places[p] += n
         self.places = Index(1)
         for p in _strong(dict(places), 4):
             self.places.add(p, p, most=1 if len(p) > 4 else 0)
@@ -155,6 +140,7 @@ class Lexicon:
         self.words = words
         self.bare: dict[str, list[str]] = defaultdict(list)
         self.near = Index(1)
+        self.begun: dict[str, list[tuple[float, str]]] = {}
         for w in sorted(words, key=lambda x: (-words[x], x)):
             self.bare[strip_marks(w)].append(w)
             self.near.add(strip_marks(w), w)
@@ -168,29 +154,23 @@ class Lexicon:
         return [(0.9 + distance(t, w, 4) / 10, w) for d, k, w in self.near.find(b)] if len(b) > 1 else []
 
     def starts(self, t: str) -> list[tuple[float, str]]:
+        if t not in self.begun:
+            self.begun[t] = self._starts(t)
+        return self.begun[t]
+
+    def _starts(self, t: str) -> list[tuple[float, str]]:
         return [(0.3 if w.startswith(t) else 0.45, w) for w in self.words if w.startswith(t) or strip_marks(w).startswith(strip_marks(t)) and t == strip_marks(t)]
 
 
 class Persons:
     """Family and given names learned from values; candidates() aligns a value."""
 
-    def __init__(self, values: list[tuple[str, int]]):
-        first: Counter = Counter()
-        last: Counter = Counter()
-        every: Counter = Counter()
-        total = 0
-        for v, n in values:
-            w, turned = person_tokens(v)
-            if turned or len(w) < 2 or any(p for _, p in w):
-                continue
-            total += n
-            first[w[0][0]] += n
-            last[w[-1][0]] += n
-            for t, _ in w:
-                every[t] += n
-        total = total or 1
-        fam = {w: n for w, n in first.items() if len(w) > 1 and n >= max(2, 1e-3 * total) and n > 0.5 * every[w]}
-        giv = {w: n for w, n in last.items() if len(w) > 1 and n >= max(2, 5e-4 * total) and n > 0.4 * every[w] and w not in fam}
+    def __init__(self, counts: dict[tuple[str, str], int], total: int):
+        """counts: rows of (first, word), (last, word) and (every, word)."""
+        every = {w: n for (k, w), n in counts.items() if k == "every"}
+        at = lambda kind: {w: n for (k, w), n in sorted(counts.items()) if k == kind and len(w) > 1}
+        fam = {w: n for w, n in at("first").items() if n >= max(2, FAMILY_SHARE * total) and n > 0.5 * every[w]}
+        giv = {w: n for w, n in at("last").items() if n >= max(2, GIVEN_SHARE * total) and n > 0.4 * every[w] and w not in fam}
         self.families, self.givens = Lexicon(_spelt(fam, 8)), Lexicon(_spelt(giv, 8))
 
     def candidates(self, value: str) -> list[tuple[str, str, str, float]]:
@@ -226,35 +206,101 @@ def _spelt(counts: dict[str, int], ratio: int) -> dict[str, int]:
 
 
 def assignment(mine: list[str], theirs: list[str]) -> float:
-    """The lowest cost of assigning the middle names of a value to those of a person: initials and slips are cheap, missing ones too."""
+    """The lowest cost of assigning the middle names of a value to those of a person: initials, runs of them and slips are cheap, missing ones too."""
     if len(mine) > 4 or len(theirs) > 4:
         return 0.0 if mine == theirs else 1.0
     a, b = (mine, theirs) if len(mine) <= len(theirs) else (theirs, mine)
+    if len(a) == 1 and len(b) > 1 and strip_marks(a[0]) == strip_marks("".join(x[0] for x in b)):
+        return 0.1
 
     def one(x: str, y: str) -> float:
         if x == y:
             return 0.0
         if len(x) == 1 or len(y) == 1:
             return 0.1 if x[0] == y[0] else 0.15 if strip_marks(x[0]) == strip_marks(y[0]) else 1.5
-        return 0.05 if strip_marks(x) == strip_marks(y) else 0.5 if distance(x, y, 1.5) <= 1.5 else 1.5
+        return 0.05 if strip_marks(x) == strip_marks(y) else 0.5 if distance(x, y, 1.5) <= 1.5 else OTHER
 
     return min((sum(one(x, y) for x, y in zip(a, p)) for p in itertools.permutations(b, len(a))), default=0.0) + 0.05 * (len(b) - len(a))
 
 
+def apart(mids: list[str]) -> list[str]:
+    """Of middle names of one family and given name, the most frequent first, those no earlier one can be assigned to: other persons."""
+    kept: list[str] = []
+    for m in mids:
+        if all(assignment(m.split(), k.split()) >= OTHER for k in kept):
+            kept.append(m)
+    return kept
+
+
 # --- linking ---------------------------------------------------------------------------------------------------------
 
 
-def _bounded(values: DataFrame) -> list[tuple[str, int]]:
-    """The most frequent values, from which the words are learned."""
-    return [(r.value, r.n) for r in values.orderBy(F.desc("n"), "value").limit(LEXICON).collect()]
+def _sums(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df.groupBy(*keys).agg(F.sum("n").alias("n"))
+
+
+def learn_bodies(values: DataFrame) -> Bodies:
+    """Kinds and places of all values (value, n). What is collected has a share of the rows, so its number is bounded."""
+
+    def beginnings(batches):
+        for pdf in batches:
+            out = []
+            for v, n in zip(pdf["value"], pdf["n"]):
+                w = fold(v) if "-" not in v else []
+                if w:
+                    out.append(("", "", "", n))
+                out += [(" ".join(w[:i]), w[i], " ".join(w[i + 1 :]), n) for i in range(2, len(w))]
+            yield pd.DataFrame(out, columns=["p", "x", "rest", "n"])
+
+    three = written(_sums(values.select("value", "n").mapInPandas(beginnings, "p string, x string, rest string, n long"), ["p", "x", "rest"]), "beginnings")
+    total = three.where("p = ''").agg(F.sum("n")).collect()[0][0] or 1
+    two = _sums(three.where("p <> ''"), ["p", "x"]).withColumnRenamed("n", "k")
+    often = two.groupBy("p").agg(F.sum("k").alias("all")).where(F.col("all") >= KIND_SHARE * total)
+    order = Window.partitionBy("p").orderBy(F.desc("k"), "x")
+    top = two.join(often, "p").withColumn("r", F.row_number().over(order)).where("r <= 2")
+    ends = three.join(top, ["p", "x"]).groupBy("p", "x", "k", "all").agg(F.count_if(F.col("n") >= 0.05 * F.col("k")).alias("ends"))
+    # several words may follow a kind, and each begins one place or two
+    kinds = ends.groupBy("p", "all").agg(F.count("*").alias("m"), F.min("k").alias("least"), F.max("ends").alias("ends")).where("m = 2 AND least >= 0.05 * all AND ends <= 3")
+    model = Bodies({tuple(r.p.split(" ")): r["all"] for r in kinds.collect()})
+    heads = values.sparkSession.sparkContext.broadcast(model.heads)
+
+    def cut(batches):
+        for pdf in batches:
+            out = []
+            for v, n in zip(pdf["value"], pdf["n"]):
+                w = fold(v) if "-" not in v else []
+                out += [(compact(w[:i]), compact(w[i:]), n) for i in range(2, len(w)) if tuple(w[:i]) in heads.value]
+            yield pd.DataFrame(out, columns=["kind", "place", "n"])
+
+    pairs = _sums(values.select("value", "n").mapInPandas(cut, "kind string, place string, n long"), ["kind", "place"]).where(F.col("n") >= PLACE_SHARE * total)
+    model.learn_places({(r.kind, r.place): r.n for r in pairs.collect()})
+    return model
+
+
+def learn_persons(values: DataFrame) -> Persons:
+    """Family and given names of all values (value, n); what is collected has a share of the rows."""
+
+    def words(batches):
+        for pdf in batches:
+            out = []
+            for v, n in zip(pdf["value"], pdf["n"]):
+                w, turned = person_tokens(v)
+                if turned or len(w) < 2 or any(p for _, p in w):
+                    continue
+                out += [("total", "", n), ("first", w[0][0], n), ("last", w[-1][0], n), *(("every", t, n) for t, _ in w)]
+            yield pd.DataFrame(out, columns=["kind", "word", "n"])
+
+    counts = written(_sums(values.select("value", "n").mapInPandas(words, "kind string, word string, n long"), ["kind", "word"]), "words")
+    total = counts.where("kind = 'total'").agg(F.sum("n")).collect()[0][0] or 1
+    return Persons({(r.kind, r.word): r.n for r in counts.where(F.col("n") >= max(2, GIVEN_SHARE * total)).collect()}, total)
 
 
 def body_entities(values: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """values: (value, n). (value, entity). known: names (value) of bodies that may help to learn the words."""
-    learn = _bounded(values)
+    learn = values.select("value", "n")
     if known is not None:
-        learn += [(r.value, 1) for r in known.where("value IS NOT NULL").limit(LEXICON).collect()]
-    model = values.sparkSession.sparkContext.broadcast(Bodies(learn))
+        learn = learn.unionByName(known.where("value IS NOT NULL").select("value", F.lit(1).cast("long").alias("n")))
+    model = values.sparkSession.sparkContext.broadcast(learn_bodies(learn))
 
     def run(batches):
         m = model.value
@@ -265,8 +311,8 @@ def body_entities(values: DataFrame, known: DataFrame | None = None) -> DataFram
 
 
 def person_entities(values: DataFrame) -> DataFrame:
-    """values: (value, n). (value, entity)."""
-    model = values.sparkSession.sparkContext.broadcast(Persons(_bounded(values)))
+    """values: (value, n). (value, entity): family and given name, and the middle names of the person the value's are assigned to."""
+    model = values.sparkSession.sparkContext.broadcast(learn_persons(values))
 
     def read(batches):
         m = model.value
@@ -279,19 +325,25 @@ def person_entities(values: DataFrame) -> DataFrame:
 
     readings = written(values.select("value", "n").mapInPandas(read, "value string, n long, family string, given string, mid string, cost double, k long"), "readings")
     sure = readings.where("cost = 0 AND length(mid) >= 2 AND NOT mid RLIKE '(^| ).( |$)'")
-    known = sure.groupBy("family", "given", "mid").agg(F.sum("n").alias("rows"))
-    top = Window.partitionBy("family", "given").orderBy(F.desc("rows"), "mid")
-    known = known.withColumn("r", F.row_number().over(top)).where("r = 1").select("family", "given", F.col("mid").alias("theirs"), "rows")
+    rows = sure.groupBy("family", "given", "mid").agg(F.sum("n").alias("rows")).withColumn("all", F.sum("rows").over(Window.partitionBy("family", "given")))
+
+    def persons(pdf):  # at most 1 / MID_SHARE rows
+        pdf = pdf.sort_values(["rows", "mid"], ascending=[False, True])
+        return pdf[pdf["mid"].isin(apart(pdf["mid"].tolist()))][["family", "given", "mid", "rows"]]
+
+    frequent = rows.where(F.col("rows") >= MID_SHARE * F.col("all")).select("family", "given", "mid", "rows")
+    known = frequent.groupBy("family", "given").applyInPandas(persons, "family string, given string, mid string, rows long").withColumnRenamed("mid", "theirs")
 
     def align(batches):
         for pdf in batches:
             c = [assignment(a.split(), b.split()) if isinstance(b, str) else 0.6 for a, b in zip(pdf["mid"], pdf["theirs"])]
-            yield pdf.assign(cost=pdf["cost"] + c)[["value", "family", "given", "cost", "rows"]]
+            who = [b if isinstance(b, str) and x < OTHER else strip_marks(a) if isinstance(b, str) else "" for a, b, x in zip(pdf["mid"], pdf["theirs"], c)]
+            yield pdf.assign(cost=pdf["cost"] + c, who=who)[["value", "family", "given", "who", "cost", "rows"]]
 
     joined = readings.where("family IS NOT NULL").join(known, ["family", "given"], "left").select("value", "family", "given", "mid", "cost", "theirs", F.coalesce("rows", F.lit(0)).cast("long").alias("rows"))
-    scored = joined.mapInPandas(align, "value string, family string, given string, cost double, rows long")
-    best = Window.partitionBy("value").orderBy("cost", F.desc("rows"), "family", "given")
-    chosen = scored.withColumn("r", F.row_number().over(best)).where("r = 1").select("value", F.concat_ws("|", "family", "given").alias("entity"))
+    scored = joined.mapInPandas(align, "value string, family string, given string, who string, cost double, rows long")
+    best = Window.partitionBy("value").orderBy("cost", F.desc("rows"), "family", "given", "who")
+    chosen = scored.withColumn("r", F.row_number().over(best)).where("r = 1").select("value", F.concat_ws("|", "family", "given", "who").alias("entity"))
 
     @F.pandas_udf("string")
     def words(s: pd.Series) -> pd.Series:
@@ -317,6 +369,12 @@ def entities(df: DataFrame, bodies: dict[str, str], persons: dict[str, str], kno
     return out
 
 
+def classes(ents: DataFrame) -> DataFrame:
+    """(field, value, entity, n, n_links): every spelling with its entity and the number of other spellings of it."""
+    size = ents.groupBy("field", "entity").agg((F.count("*") - 1).alias("n_links"))
+    return ents.join(size, ["field", "entity"]).select("field", "value", "entity", "n", "n_links")
+
+
 def linked(ents: DataFrame) -> DataFrame:
     """(field, name_a, name_b): every pair of different values of a field that name the same entity."""
     e = ents.select("field", "entity", "value")

@@ -1,6 +1,7 @@
 """Canonical lists and variant spellings."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from sonmai.llm import canonical, names, variants
 
@@ -82,3 +83,13 @@ def test_variants_linked(spark):
 def test_assignment():
     assert variants.assignment(["v", "xuân"], ["văn", "xuân"]) == pytest.approx(0.1)
     assert variants.assignment([], ["văn"]) < 0.1 < 1 < variants.assignment(["kim"], ["văn"])
+
+
+def test_other_middle_names_are_other_persons(spark):
+    rows = [("Nguyễn Văn Hùng", 50), ("Nguyễn Đức Hùng", 40), ("Nguyễn Vân Hùng", 2), ("Nguyễn V. Hùng", 3), ("Nguyễn Đ. Hùng", 3), ("Nguyen Duc Hung", 2), ("Trần Văn Nam", 30), ("Lê Thị Hà", 30), ("Trần Thị Hà", 20)]
+    t = spark.createDataFrame([(v,) for v, n in rows for _ in range(n)], "person string").withColumn("body", F.lit(None).cast("string"))
+    e = variants.entities(t, {"b": "body"}, {"p": "person"})
+    got = {(r.name_a, r.name_b) for r in variants.linked(e).collect()}
+    groups = [("Nguyễn Văn Hùng", "Nguyễn Vân Hùng", "Nguyễn V. Hùng"), ("Nguyễn Đức Hùng", "Nguyễn Đ. Hùng", "Nguyen Duc Hung")]
+    assert got == {(a, b) for g in groups for a in g for b in g if a < b}
+    assert {(r.value, r.n_links) for r in variants.classes(e).collect()} == {(v, 2) for g in groups for v in g} | {(v, 0) for v, _ in rows[6:]}
