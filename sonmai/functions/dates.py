@@ -64,3 +64,12 @@ def header_date(c: Column) -> Column:
 def weekday_name(c: Column) -> Column:
     """Mon to Sun."""
     return F.element_at(F.array(*[F.lit(x) for x in ("Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun")]), F.weekday(c) + 1)
+
+
+def label_date(c: Column) -> Column:
+    """The date a label is made of: numeric after its word, worded as day/month/year without padding, else the first numeric one of the first twenty lines; '' for none."""
+    numeric = F.nullif(F.regexp_extract(c, r"(?iuU)ngày\s+(\d{1,2}[/\-.]\d{1,2}[/\-.]\d{4})", 1), F.lit(""))
+    worded = r"(?U)[Nn]gày\s+(\d{1,2})\s+tháng\s+(\d{1,2})\s+năm\s+(\d{4})"
+    spelt = F.when(F.regexp_extract(c, worded, 1) != "", F.concat_ws("/", *[F.regexp_extract(c, worded, i) for i in (1, 2, 3)]))
+    head = F.array_join(F.slice(F.split(c, "\n"), 1, 20), "\n")
+    return F.coalesce(numeric, spelt, F.regexp_extract(head, r"(\d{1,2}/\d{1,2}/\d{4})", 1), F.lit(""))

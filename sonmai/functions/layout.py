@@ -1,4 +1,4 @@
-"""Geometry of recognized lines and boxes (inventory L1-L8, W1)."""
+"""Geometry of recognized lines and boxes (inventory L1-L8, J10, J12, W1, F12-F14)."""
 
 from __future__ import annotations
 
@@ -42,6 +42,44 @@ def region(line: Column, x1: Column, y1: Column, x2: Column, y2: Column, width:
     return lies.otherwise("noi_dung")
 
 
+# The regions of a page, with the numbers and names of their places in a document.
+REGIONS = {
+    "quoc_hieu": ("1", "Quốc hiệu và Tiêu ngữ"),
+    "co_quan": ("2", "Tên cơ quan, tổ chức ban hành"),
+    "so_hieu": ("3", "Số, ký hiệu văn bản"),
+    "ngay_ban_hanh": ("4", "Địa danh và thời gian ban hành"),
+    "ten_loai": ("5a", "Tên loại văn bản"),
+    "trich_yeu": ("5b", "Trích yếu nội dung"),
+    "noi_dung": ("6", "Nội dung văn bản"),
+    "nguoi_ky": ("7a-c", "Chức vụ, chữ ký, họ tên người ký"),
+    "con_dau": ("8", "Dấu cơ quan, tổ chức"),
+    "noi_nhan": ("9a-b", "Nơi nhận"),
+    "do_mat_khan": ("10a-b", "Dấu chỉ độ mật, độ khẩn"),
+    "phu_tro": ("11-14", "Thông tin phụ trợ hành chính"),
+}
+#: The regions whose texts become fields.
+FIELD_REGIONS = ("quoc_hieu", "co_quan", "so_hieu", "ngay_ban_hanh", "ten_loai", "trich_yeu", "noi_dung", "nguoi_ky", "noi_nhan")
+
+
+def classified(lines: DataFrame, width: Column, height: Column) -> DataFrame:
+    """Lines (text, x1, y1, x2, y2) with their region, its number and its name; '?' and the region itself for unknown ones."""
+    table = lambda i: F.create_map(*[F.lit(x) for k, v in REGIONS.items() for x in (k, v[i])])
+    t = lines.withColumn("region", region(F.col("text"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), width, height))
+    r = F.col("region")
+    return t.withColumns({"region_id": F.coalesce(F.element_at(table(0), r), F.lit("?")), "region_name": F.coalesce(F.element_at(table(1), r), r)})
+
+
+def region_fields(lines: DataFrame, keys: tuple[str, ...] = ("doc_id", "page"), order: str = "line_no") -> DataFrame:
+    """L3: the texts of the nine regions of each page as columns, their lines in order; '' where a page has none. A group is a page."""
+    joined = lambda k: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("region") == k, F.struct(order, "text")))), lambda x: x["text"]), "\n")
+    return lines.groupBy(*keys).agg(*[strip(joined(k)).alias(f"{k}_text") for k in FIELD_REGIONS])
+
+
+def fuller_reading(first: Column, second: Column, least: int = 3) -> Column:
+    """The lines of a second engine where the first has fewer than least and the second has more."""
+    return F.when((F.size(first) < least) & (F.size(second) > F.size(first)), second).otherwise(first)
+
+
 def axis_box(quad: Column) -> Column:
     """L4: the box around four points [[x, y], …]; zeros for anything else."""
     ok = F.size(quad) == 4

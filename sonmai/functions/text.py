@@ -187,17 +187,27 @@ def truncate_middle(c: Column, budget: int) -> Column:
     return F.when(F.length(c) <= budget, c).otherwise(F.concat(F.left(c, F.lit(head)), F.lit("\n...\n"), F.right(c, F.lit(budget - head))))
 
 
+# Headings an appendix begins with, and what stands around the main body.
+APPENDIX = (r"(?U)\n\s*(?:PHỤ LỤC|Phụ lục)\b", r"(?U)\n\s*CÁC MẪU VĂN BẢN\b", r"(?U)\n\s*DANH MỤC\b")
+BODY = ("[VĂN BẢN CHÍNH]\n", "\n[KẾT THÚC VĂN BẢN CHÍNH]\n(Phần phụ lục/mẫu đơn đính kèm đã được lược bỏ — KHÔNG trích xuất từ phần này)")
+
+
 def body_markers(c: Column) -> Column:
-    """The main body between markers, the appendix left out, where at least 200 characters can be cut."""
+    """The main body between markers where more than 200 characters behind it can be left out, else the text.
+
+    It ends 200 characters behind the filing note after the receivers, 500 behind the receivers without such a note, or at
+    the appendix, whichever comes first; an appendix begins after 30 % of the text.
+    """
     n = F.length(c)
-    appendix = F.regexp_instr(c, F.lit(r"(?iu)\n\s*(?:PHỤ LỤC|DANH MỤC KÈM THEO)"))
-    has = (appendix > 0) & (appendix > n * 0.3)
-    received = F.regexp_instr(c, F.lit(r"(?iu)Nơi nhận:"))
-    filed = F.regexp_instr(F.substr(c, F.greatest(received, F.lit(1)), F.lit(1000)), F.lit(r"(?iu)Lưu:"))
-    end = F.when((received > 0) & (received < appendix), received + F.when(filed > 0, filed + 200).otherwise(500)).otherwise(appendix)
-    end = F.least(end, n)
-    body = F.substr(c, F.lit(1), end)
-    return F.when(has & (n - end >= 200), F.concat(F.lit("[BODY]\n"), body, F.lit("\n[/BODY]"))).otherwise(c)
+    at = lambda t, p: F.regexp_instr(t, F.lit(p)) - 1
+    appendix = F.least(*[F.when((at(c, p) >= 0) & (at(c, p) > n * 0.3), at(c, p)).otherwise(n) for p in APPENDIX], n)
+    receivers, note = r"(?U)Nơi\s+nhận\s*:", r"(?U)Lưu\s*:"
+    begin = at(c, receivers)
+    end = begin + F.length(F.regexp_extract(c, receivers, 0))
+    rest = F.substr(c, end + 1, F.lit(1000))
+    behind = F.when(at(rest, note) >= 0, at(rest, note) + F.length(F.regexp_extract(rest, note, 0)) + 200).otherwise(500)
+    cut = F.when(begin < 0, appendix).when(begin < appendix, F.least(end + behind, appendix)).otherwise(n)
+    return F.when(cut < n - 200, F.concat(F.lit(BODY[0]), strip(F.substr(c, F.lit(1), cut)), F.lit(BODY[1]))).otherwise(c)
 
 
 def words(c: Column) -> Column:

@@ -7,6 +7,7 @@ import hashlib
 import io
 import json
 import random
+import re
 import zipfile
 from xml.etree import ElementTree
 
@@ -28,6 +29,9 @@ ALIASES = {
 }
 
 
+_ISO = re.compile(r"(\d{4})-(\d{2})-(\d{2})")
+
+
 def difflib_ratio(a: Column, b: Column) -> Column:
     """M5: Ratcliff and Obershelp's similarity; empties as in the other measures."""
 
@@ -76,7 +80,7 @@ def flatten(value: object, prefix: str = "") -> dict[str, str]:
 
 
 def reply_fields(c: Column) -> Column:
-    """R2: the six fields of a reply in whatever nesting and names; of several values the longest wins; '' for none."""
+    """R2: the six fields of a reply in whatever nesting and names; of several values the longest wins; '' for none. ISO dates turn day first."""
     names = {a: f for f, all_ in ALIASES.items() for a in all_}
 
     def one(x):
@@ -87,11 +91,13 @@ def reply_fields(c: Column) -> Column:
         out = dict.fromkeys(FIELDS, "")
         for k, v in flat.items():
             low = k.lower().replace(" ", "_")
-            f = names.get(k) or names.get(low) or names.get(low.rsplit(".", 1)[-1])
+            f = names.get(k) or names.get(low) or next((names[x] for x in reversed(k.split(".")) if x in names), None)
             v = v.strip()
             if f and len(v) > len(out[f]):
                 out[f] = v
         out["so_hieu"] = "".join(out["so_hieu"].split())
+        if m := _ISO.match(out["ngay_ban_hanh"]):
+            out["ngay_ban_hanh"] = "/".join(reversed(m.groups()))
         return out
 
     @F.pandas_udf(", ".join(f"{f} string" for f in FIELDS))

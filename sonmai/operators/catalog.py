@@ -172,3 +172,32 @@ def latest_state(logs: DataFrame) -> DataFrame:
     t = logs.groupBy("document_id").agg(last.alias("s"))
     steps = ("preprocessing", "stamp_detection", "ocr", "llm", "validation")
     return t.select("document_id", "s.stage", "s.status", F.array_position(F.array(*[F.lit(x) for x in steps]), F.col("s.stage")).cast("int").alias("step"))
+
+
+EXTRACTION_VIEW = ("id", "document_id", "loai_van_ban", "so_hieu", "ngay_ban_hanh", "co_quan_ban_hanh", "trich_yeu", "nguoi_ky", "ocr_confidence", "llm_confidence", "total_stamps", "stamp_coordinates", "processing_time", "verified_by_user", "raw_json", "edited_json")
+
+
+def extraction_view(extractions: DataFrame) -> DataFrame:
+    """what a client sees of an extraction."""
+    return extractions.select(*EXTRACTION_VIEW)
+
+
+def repaired_names(documents: DataFrame, files: DataFrame) -> DataFrame:
+    """F16: documents named as a page of themselves get the name and kind of their original where it is among files (path), else the kind if they have several pages."""
+    hit = F.col("filename").rlike(r"^[a-f0-9]{32}_page_\d+\.jpg$")
+    stem = F.regexp_extract("filename", "^([a-f0-9]{32})_page_", 1)
+    folder = F.regexp_extract("file_path", r"^(.*/)?[^/]*$", 1)
+    t = documents.withColumn("_original", F.when(hit, F.concat(folder, stem, F.lit(".pdf"))))
+    t = t.join(files.select(F.col("path").alias("_original"), F.lit(True).alias("_there")).distinct(), "_original", "left")
+    there = F.coalesce("_there", F.lit(False))
+    new = {
+        "file_path": F.when(there, F.col("_original")).otherwise(F.col("file_path")),
+        "filename": F.when(there, F.concat(stem, F.lit(".pdf"))).otherwise(F.col("filename")),
+        "file_type": F.when(there | (hit & (F.col("num_pages") > 1)), "pdf").otherwise(F.col("file_type")),
+    }
+    return t.withColumns(new).select(*documents.columns)
+
+
+def page_texts(texts: DataFrame, key: str, c: str, separator: str = "\f") -> DataFrame:
+    """(key, page, text), pages numbered from 1."""
+    return texts.select(key, F.posexplode(F.split(c, separator)).alias("page", "text")).withColumn("page", F.col("page") + 1)

@@ -51,6 +51,15 @@ def long_enough(c: Column, least: int) -> Column:
     return F.length(strip(text(c))) >= least
 
 
+# The folders of examples and the kinds of documents in them.
+FOLDERS = {"CV": "Công văn", "HD": "Hợp đồng", "K": "Khác", "QD": "Quyết định", "TT": "Thông tư"}
+
+
+def folder_kind(code: Column) -> Column:
+    """The kind of a folder's documents."""
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in FOLDERS.items() for x in kv]), code), F.lit("Khác"))
+
+
 def task_rows(df: DataFrame, key: str, body: str, kind: str) -> DataFrame:
     """A classification and an extraction row for each document."""
     cls = F.struct(F.lit("classify").alias("task"), F.lit("Phân loại văn bản sau.").alias("instruction"), F.col(body).alias("input"), text(F.col(kind)).alias("output"))

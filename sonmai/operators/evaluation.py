@@ -1,4 +1,4 @@
-"""Evaluation of extracted fields against labels (inventory J3-J5, A9-A25, M10, M12, K7, K10, K11)."""
+"""Evaluation of extracted fields against labels (inventory J3-J6, A9-A25, M10, M12, K7, K10, K11)."""
 
 from __future__ import annotations
 
@@ -35,6 +35,22 @@ def first_match(pred: DataFrame, truth: DataFrame) -> DataFrame:
     return by_source.unionByName(by_name).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
+def with_results(truth: DataFrame, results: DataFrame, name: str = "filename") -> DataFrame:
+    """Labels with the result of their file, x.pdf with x_result.json; labels without one are left out. results: (path, …)."""
+    r = results.withColumn("_name", F.regexp_extract("path", r"([^/\\]*)$", 1))
+    return truth.withColumn("_name", F.replace(name, F.lit(".pdf"), F.lit("_result.json"))).join(r, "_name").drop("_name")
+
+
+def existing(truth: DataFrame, files: DataFrame, name: str = "filename") -> DataFrame:
+    """Labels whose file is there. files: (path)."""
+    return truth.join(files.select(F.regexp_extract("path", r"([^/\\]*)$", 1).alias(name)), name, "left_semi")
+
+
+def error_rates(rates: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Mean and population deviation of character and word error rates. rates: (cer, wer)."""
+    return rates.groupBy(*keys).agg(*[f(c).alias(f"{c}_{n}") for c in ("cer", "wer") for n, f in (("mean", F.avg), ("std", F.stddev_pop))], F.count("*").alias("n"))
+
+
 def merged_truth(parts: DataFrame, key: str, order: str) -> DataFrame:
     """Of several parts' rows of a key, the last part's."""
     w = Window.partitionBy(key).orderBy(F.desc(order))

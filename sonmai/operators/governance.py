@@ -1,10 +1,10 @@
-"""Audits of data sets: manifests, hashes, splits, pairing (inventory Q1-Q12, J6-J8, U4, U6, K3)."""
+"""Audits of data sets: manifests, hashes, splits, pairing (inventory Q1-Q12, J6-J8, U4, U6, F17, O6, K3)."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.metrics import FIELDS
@@ -55,6 +55,53 @@ def unpaired(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return a.join(b, key, "left_anti").withColumn("side", F.lit("left")).unionByName(b.join(a, key, "left_anti").withColumn("side", F.lit("right")))
 
 
+def pairing_messages(inputs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Q8: (issue, stem): stems that several inputs or labels have, labels without input, inputs without label, and either side wholly missing. inputs, labels: (stem)."""
+    twice = lambda t, side: duplicates(t, "stem").select(F.lit(f"duplicate {side} stem").alias("issue"), "stem")
+    alone = unpaired(inputs, labels, "stem").select(F.when(F.col("side") == "left", "input without label").otherwise("label without input").alias("issue"), "stem")
+    n = inputs.agg(F.count("stem").alias("i")).crossJoin(labels.agg(F.count("stem").alias("l")))  # two rows of one number
+    none = n.select(F.when((F.col("l") > 0) & (F.col("i") == 0), "labels but no inputs").when((F.col("i") > 0) & (F.col("l") == 0), "inputs but no labels").alias("issue"), F.lit(None).cast("string").alias("stem")).where("issue IS NOT NULL")
+    return twice(inputs, "input").unionByName(twice(labels, "label")).unionByName(alone).unionByName(none)
+
+
+def unproven_results(results: DataFrame) -> DataFrame:
+    """Q9: (path): JSON results named as a benchmark that don't say which manifest they are of. results: (path, body); what isn't JSON passes."""
+    name = F.lower(F.regexp_extract("path", r"([^/\\]*)$", 1))
+    v = F.try_parse_json("body")
+    proof = F.try_variant_get(v, "$.manifest_sha256", "string")
+    return results.where(name.endswith(".json") & name.contains("benchmark") & v.isNotNull() & (F.coalesce(proof, F.lit("")) == "")).select("path")
+
+
+# What doesn't belong into a repository of code.
+BLOCKED = (".pt", ".pth", ".onnx", ".safetensors", ".bin", ".gguf", ".h5", ".pb", ".tflite", ".ckpt", ".pdf", ".docx", ".doc", ".db", ".sqlite", ".sqlite3", ".log")
+BLOCKED_DIRS = ("data/uploads", "data/raw", "data/interim", "data/processed", "data/llm_training", "data/raw_word_files", "apps/backend/uploads", "apps/frontend/public/temp_uploads", "backend/uploads", "results", "debug_outputs", "artifacts", "outputs", "runs", "wandb", "mlruns", "logs", "pgdata", "postgres_data", "redis-data", "redis_data", "chromadb", "cache", ".tmp", "tmp", "unsloth_compiled_cache")
+ALLOWED = ("README.md", "docs/", ".gitkeep", "data/test/labels/")
+LARGE = 50 * 1024 * 1024
+
+
+def misplaced_files(files: DataFrame) -> DataFrame:
+    """(finding, path) of files that are of a blocked kind, in a blocked folder or too large, allowed ones left out. files: (path, length), relative."""
+    p = F.col("path")
+    allowed = reduce(Column.__or__, [p.startswith(a) for a in ALLOWED])
+    ext = F.lower(F.regexp_extract(p, r"(\.[^./]+)$", 1))
+    folder = reduce(Column.__or__, [p.startswith(d + "/") for d in BLOCKED_DIRS])
+    findings = F.array(
+        F.when(folder & ~p.endswith("/.gitkeep"), "blocked folder"),
+        F.when(~allowed & ext.isin(*BLOCKED) & ~folder, "blocked extension"),
+        F.when(~allowed & (F.col("length") > LARGE) & ~folder, "large file"),
+    )
+    return files.select(F.explode(F.array_compact(findings)).alias("finding"), "path")
+
+
+def findings_report(findings: DataFrame, most: dict[str, int] | None = None) -> DataFrame:
+    """The first paths of each finding, by name, and the number of all (a report cut to 30, 20 for folders)."""
+    w = Window.partitionBy("finding").orderBy("path")
+    most = most or {"blocked folder": 20}
+    limit = reduce(lambda c, kv: c.when(F.col("finding") == kv[0], kv[1]), most.items(), F).otherwise(30)
+    n = findings.groupBy("finding").agg(F.count("*").alias("n"))
+    return findings.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).join(F.broadcast(n), "finding")
+
+
 def manifest_rules(entries: DataFrame) -> DataFrame:
     """Q5: (rule, id) of entries that break a rule of the manifest."""
     bad = lambda rule, cond: entries.where(cond).select(F.lit(rule).alias("rule"), "id")

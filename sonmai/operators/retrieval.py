@@ -1,8 +1,8 @@
-"""Chunks, vectors and contexts (inventory G1-G8, A29, A30, J13, J16, O5, K15, F7)."""
+"""Chunks, vectors and contexts (inventory G1-G7, S16, A32, A29, A30, J13, J16, O5, K15, F7)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip, text
@@ -82,6 +82,35 @@ def context(found: DataFrame, c: str = "text") -> DataFrame:
     return t.select(F.when(F.size("a") == 0, "Không tìm thấy thông tin liên quan.").otherwise(F.array_join(F.transform("a", lambda x: x["t"]), "\n---\n")).alias("context"))
 
 
+class Collection:
+    """A collection of vectors with their chunks, kept as a table of files in a folder, whatever writes it next.
+
+    Each change writes a new version beside the old one and then points to it, so readers never see half a change.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+        self.version = 0
+
+    def read(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/v{self.version}")
+
+    def _replace(self, df: DataFrame) -> None:
+        df.write.mode("overwrite").parquet(f"{self.folder}/v{self.version + 1}")
+        self.version += 1
+
+    def put(self, new: DataFrame, key: str = "chunk_id") -> None:
+        """K15."""
+        self._replace(new if not self.version else upsert(self.read(), new, key))
+
+    def drop(self, doc_id: object, key: str = "doc_id") -> None:
+        """G6."""
+        self._replace(without_document(self.read(), doc_id, key))
+
+    def count(self) -> DataFrame:
+        return self.read().agg(F.count("*").alias("n"))
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str = "chunk_id") -> DataFrame:
     """New rows replace old ones of the same key."""
     return old.join(new.select(key), key, "left_anti").unionByName(new)

@@ -6,6 +6,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -142,6 +143,30 @@ def manifest_text(header: dict, entries: list[dict]) -> str:
     return json.dumps({**body, "manifest_sha256": hashlib.sha256(canonical.encode()).hexdigest()}, ensure_ascii=False, indent=2)
 
 
+def write_named(df: DataFrame, folder: str, name: str = "name", content: str = "content") -> DataFrame:
+    """K1, K8: one file per row, named by a column, written by the tasks themselves: (name, length) of each. A repeated task writes the same file again.
+
+    folder is an address of any file system the tasks can reach; subfolders in names are made.
+    """
+
+    def write(batches):
+        from pyarrow import fs
+
+        where, base = fs.FileSystem.from_uri(folder if "://" in folder or ":/" in folder else "file://" + folder)
+        made = set()
+        for batch in batches:
+            for n, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                path = f"{base.rstrip('/')}/{n}"
+                if (up := path.rsplit("/", 1)[0]) not in made:
+                    where.create_dir(up, recursive=True)
+                    made.add(up)
+                with where.open_output_stream(path) as f:
+                    f.write(c or b"")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(c or b"") for c in batch.column(1).to_pylist()], pa.int64())], ["name", "length"])
+
+    return df.select(F.col(name).alias("name"), F.col(content).cast("binary").alias("content")).mapInArrow(write, "name string, length long")
+
+
 def usage(files: DataFrame) -> DataFrame:
     """Files and megabytes per directory."""
     return files.groupBy(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("directory")).agg(F.count("*").alias("n_files"), (F.sum("length") / 1048576).alias("mb"))
