@@ -12,12 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (local runs, tests)."""
+    """The folder all executors share: spark.checkpoint.dir; where that is unset, one of our own in local runs, else an error."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         have = spark.sparkContext._jsc.sc().getCheckpointDir()
         if have.isDefined():
             return have.get()
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         d = tempfile.mkdtemp(prefix="sonmai_")
         spark.sparkContext.setCheckpointDir(d)
         d = spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -25,10 +27,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str = "t") -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: cuts lineage and survives the loss of any executor."""
+    """Writes df as a table in the shared folder and reads it back: cuts lineage and survives the loss of any executor.
+
+    The table is deleted when the driver ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}_{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 
