@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +16,7 @@ from ..operators import datasets as S
 from ..operators import evaluation as E
 from ..operators import governance as G
 from ..operators import retrieval as R
-from ..session import table
+from ..session import shared_folder, table
 from ..streaming import logs as LOGS
 
 QUERIES: dict = {}
@@ -681,10 +678,16 @@ def manifest_rules(spark, d):
     return G.manifest_rules(table(spark, d, "manifest_entries")).groupBy("rule").agg(F.count("*").alias("n"))
 
 
-@query()
+_HASHES = "SELECT path, min(sha) AS sha FROM (SELECT input_path AS path, lower(input_sha256) AS sha FROM manifest_entries WHERE input_sha256 IS NOT NULL AND length(input_path) % 7 <> 0) GROUP BY path"
+
+
+@query(f"""SELECT problem, count(*) AS n FROM (SELECT unnest([CASE WHEN i.sha IS NULL THEN 'missing input' WHEN i.sha <> lower(e.input_sha256) THEN 'input hash mismatch' END, CASE WHEN e.label_path IS NULL THEN 'missing label_path' WHEN l.sha IS NULL THEN 'missing label' WHEN l.sha <> lower(e.label_sha256) THEN 'label hash mismatch' END]) AS problem
+    FROM (SELECT DISTINCT * FROM manifest_entries) e LEFT JOIN ({_HASHES}) i ON e.input_path = i.path LEFT JOIN ({_HASHES}) l ON e.label_path = l.path) WHERE problem IS NOT NULL GROUP BY problem""")
 def manifest_hash_problems(spark, d):
+    """Q4: the manifest against the files there are, those of the smallest hash of each input path but for some lengths of paths."""
     e = table(spark, d, "manifest_entries").dropDuplicates()
-    return G.hash_problems(e, e.where("input_sha256 IS NOT NULL").select(F.col("input_path").alias("path"), F.col("input_sha256").alias("sha256")).dropDuplicates(["path"])).groupBy("problem").agg(F.count("*").alias("n"))
+    files = e.where("input_sha256 IS NOT NULL AND length(input_path) % 7 <> 0").groupBy(F.col("input_path").alias("path")).agg(F.min(F.lower("input_sha256")).alias("sha256"))
+    return G.hash_problems(e, files).groupBy("problem").agg(F.count("*").alias("n"))
 
 
 @query()
@@ -866,11 +869,6 @@ def context_listagg_all(spark, d):
 # --- streams and windows of time ------------------------------------------------------------------------------------
 
 
-def _place(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sonmai_")
-    return f"{base.rstrip('/')}/stream_{uuid.uuid4().hex}"
-
-
 @query("SELECT date_trunc('day', created_at) AS window_start, stage, count(*) AS n, round(sum(duration), 4) AS seconds FROM processing_logs GROUP BY 1, 2")
 def stage_windows(spark, d):
     t = LOGS.stage_windows(table(spark, d, "processing_logs").where("created_at IS NOT NULL"))
@@ -880,7 +878,7 @@ def stage_windows(spark, d):
 @query("SELECT date_trunc('day', created_at) AS window_start, stage, count(*) AS n, round(sum(duration), 4) AS seconds FROM processing_logs GROUP BY 1, 2")
 def stage_windows_stream(spark, d):
     """The same as a stream over the log files, its complete result after the last batch."""
-    at = _place(spark)
+    at = shared_folder(spark, "stream")
     s = LOGS.read_logs(spark, f"{d.rstrip('/')}/processing_logs.parquet")
     return LOGS.run_to_table(LOGS.stage_windows(s), f"{at}/out", f"{at}/checkpoint", "complete").withColumn("seconds", F.round("seconds", 4))
 

@@ -15,7 +15,7 @@ from ..operators import datasets as S
 from ..operators import evaluation as E
 from ..operators import retrieval as R
 from ..session import table
-from .catalogue import _BUCKET, _LINES, _METRICS, _PAIRS, _lines, _pairs, _said, _strip, _toks, _ws, query
+from .catalogue import _BUCKET, _LINES, _METRICS, _PAIRS, _QUERY, ORACLE, _lines, _pairs, _said, _strip, _toks, _ws, query
 
 _SIZE = (620, 1000)  # of the pages the lines stand on
 _BOUND = lambda p: _said(p.replace("\\b", "[^\\p{L}\\p{N}_]"))
@@ -255,3 +255,37 @@ def folder_kinds(spark, d):
     """Documents per folder and kind."""
     code = F.element_at(F.array(*[F.lit(x) for x in ("CV", "HD", "K", "QD", "TT", "XX")]), S.hash_bucket(F.col("doc_id"), 6) + 1)
     return table(spark, d, "documents").select(code.alias("folder")).groupBy(S.folder_kind(F.col("folder")).alias("kind"), "folder").agg(F.count("*").alias("n"))
+
+
+# --- SQL of queries that stand in the catalogue ------------------------------------------------------------------------
+
+ORACLE["region_texts"] = f"SELECT doc_id, region, string_agg(text, chr(10) ORDER BY line_no) AS text FROM ({_REGION_LINES}) GROUP BY doc_id, region"
+ORACLE["log_sessions"] = """SELECT document_id, min(created_at) AS session_start, max(created_at) + INTERVAL 1 HOUR AS session_end, count(*) AS n FROM
+    (SELECT *, sum(b) OVER (PARTITION BY document_id ORDER BY created_at, log_id) AS g FROM (SELECT *, CASE WHEN created_at - lag(created_at) OVER (PARTITION BY document_id ORDER BY created_at, log_id) >= INTERVAL 1 HOUR THEN 1 ELSE 0 END AS b
+      FROM (SELECT DISTINCT log_id, document_id, created_at FROM processing_logs WHERE created_at IS NOT NULL))) GROUP BY document_id, g"""
+
+
+def _filled(field: str) -> str:
+    return _strip(f"coalesce(extraction.{field}, '')")
+
+
+_RULES = [f"CASE WHEN {_filled(f)} = '' THEN 'blank {f}' END" for f in M.FIELDS]
+_RULES += [f"CASE WHEN regexp_matches(lower({_filled('co_quan_ban_hanh')}), 'độc lập|tự do|hạnh phúc') THEN 'motto as agency' END", f"CASE WHEN regexp_matches({_filled('nguoi_ky')}, '(?i)^(?:KT[.]|TM[.]|TL[.]|CHỦ TỊCH|GIÁM ĐỐC|BỘ TRƯỞNG)') THEN 'office as signer' END"]
+_RULES += [f"CASE WHEN evidence IS NOT NULL AND {_filled(f)} <> '' AND NOT list_contains(map_keys(evidence), '{f}') THEN 'no evidence {f}' END" for f in M.FIELDS]
+ORACLE["label_contract"] = f"SELECT rule, count(*) AS n FROM (SELECT unnest([{', '.join(_RULES)}]) AS rule FROM bench_labels) WHERE rule IS NOT NULL GROUP BY rule"
+ORACLE["conversations"] = """SELECT label_id, CAST(to_json({'id': label_id::VARCHAR, 'conversations': [{'from': 'human', 'value': 'Số hiệu?'}, {'from': 'gpt', 'value': coalesce(extraction.so_hieu, '')}]}) AS VARCHAR) AS json FROM bench_labels"""
+_NEAR = f"SELECT vec_id, 1 - list_cosine_similarity(embedding::DOUBLE[], {_QUERY}::DOUBLE[]) AS distance FROM embeddings ORDER BY distance, vec_id LIMIT 5"
+ORACLE["context_listagg"] = f"SELECT coalesce(string_agg(text, chr(10) || '---' || chr(10) ORDER BY distance), 'Không tìm thấy thông tin liên quan.') AS context FROM ({_NEAR}) n JOIN documents d ON d.doc_id = n.vec_id"
+ORACLE["context_listagg_all"] = """SELECT query_id, coalesce(string_agg(text, chr(10) || '---' || chr(10) ORDER BY distance), 'Không tìm thấy thông tin liên quan.') AS context FROM
+    (SELECT query_id, vec_id, distance FROM (SELECT q.vec_id AS query_id, v.vec_id, 1 - list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS distance FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) <= 5) n
+    LEFT JOIN documents d ON d.doc_id = n.vec_id GROUP BY query_id"""
+
+
+def _without_watermarks(c: str) -> str:
+    for p in T.WATERMARKS:
+        flags, body = p[2 : p.index(")")].replace("u", ""), p[p.index(")") + 1 :].replace("\\z", "$")
+        c = f"regexp_replace({c}, '(?{flags}){body}', '', 'g')"
+    return _strip(c)
+
+
+ORACLE["born_digital"] = f"""SELECT length({_without_watermarks("coalesce(full_text, '')")}) > 100 AS digital, count(*) AS n FROM bench_labels GROUP BY 1"""

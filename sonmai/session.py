@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -21,3 +24,16 @@ def local_session(cores: str = "*", **conf: str) -> SparkSession:
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """One table of a directory of parquet files or folders."""
     return spark.read.parquet(f"{directory.rstrip('/')}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the one spark.checkpoint.dir names, deleted when the driver ends; where that is unset, in local runs, one of our own."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="sonmai_")
+    path = f"{base.rstrip('/')}/{name}_{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
