@@ -151,7 +151,7 @@ def corpus_counts(docs: DataFrame, text: str) -> list[np.ndarray]:
     # a tree of partial sums: FAN_IN tasks of the corpus into one, then those of each range
     schema = "grp int, at int, sparse boolean, counts binary"
     some = docs.where(F.col(text).isNotNull()).select(text).mapInArrow(count, schema).repartition("grp", "at").mapInArrow(adder(False), schema)
-    got = some.repartition(3 * BUCKETS // RANGE, "at").mapInArrow(adder(True), schema).toLocalIterator()
+    got = some.repartition(3 * BUCKETS // RANGE, "at").mapInArrow(adder(True), schema).collect()
     out = np.zeros((3, BUCKETS), np.float64)
     for r in got:
         k, j = divmod(r["at"], 4096)

@@ -11,7 +11,10 @@ from . import abuse, bpe, canonical, chunking, confusables, evalleak, neardup, o
 
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{directory.rstrip('/')}/{name}.parquet")
+    """A table; of fewer splits than half the cores, as single small files are, it is spread over all."""
+    t = spark.read.parquet(f"{directory.rstrip('/')}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return t if t.rdd.getNumPartitions() * 2 > cores else t.repartition(cores)
 
 
 def p1_found(spark, d):
