@@ -160,10 +160,21 @@ def stage_latency(logs: DataFrame) -> DataFrame:
 
 
 def without_repeated_messages(logs: DataFrame) -> DataFrame:
-    """Log rows that don't repeat the message before them in their document; rows repeated in full count once."""
-    w = Window.partitionBy("document_id").orderBy("created_at", "log_id")
-    t = logs.dropDuplicates().withColumns({"_before": F.lag("message").over(w), "_r": F.row_number().over(w)})
-    return t.where("_r = 1 OR NOT (message <=> _before)").drop("_before", "_r")
+    """Log rows that don't repeat the message before them in their document; rows repeated in full count once.
+
+    A document may hold a great part of all logs, so rows are looked at within a document's days; the last message of
+    each day is carried over to the first row of the next one there is.
+    """
+    day = F.date_trunc("day", "created_at")
+    t = logs.dropDuplicates().withColumn("_day", day)
+    within = Window.partitionBy("document_id", "_day").orderBy("created_at", "log_id")
+    t = t.withColumns({"_before": F.lag("message").over(within), "_r": F.row_number().over(within)})
+    seam = logs.groupBy("document_id", day.alias("_day")).agg(F.max_by(F.struct("message"), F.struct("created_at", "log_id")).alias("_m"))
+    days = Window.partitionBy("document_id").orderBy("_day")
+    seam = seam.withColumn("_last", F.lag("_m").over(days)).select(F.col("document_id").alias("_d"), F.col("_day").alias("_e"), "_last")
+    j = t.join(seam, F.col("document_id").eqNullSafe(F.col("_d")) & F.col("_day").eqNullSafe(F.col("_e")))
+    repeats = F.when(F.col("_r") > 1, F.col("message").eqNullSafe(F.col("_before"))).otherwise(F.col("_last").isNotNull() & F.col("message").eqNullSafe(F.col("_last.message")))
+    return j.where(~repeats).select(*logs.columns)
 
 
 def latest_state(logs: DataFrame) -> DataFrame:

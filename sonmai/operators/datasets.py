@@ -24,14 +24,21 @@ def split(key: Column, shares: tuple[tuple[str, int], ...] = (("train", 80), ("v
     return out.otherwise(shares[-1][0])
 
 
+RANGE_ROWS = 200_000  # ranked in one task, about
+
+
 def numbered(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
-    """Adds _r, the numbers 1 to n in the order of the key's hash, and _all, n: rows are ranked within 256 hash ranges and offset by the ranges before, so that no task holds all of them."""
-    h = df.withColumn("_h", F.md5(F.concat_ws("|", F.lit(seed), F.col(key)))).withColumn("_b", F.substring("_h", 1, 2))
+    """Adds _r, the numbers 1 to n in the order of the key's hash, and _all, n: rows are ranked within ranges of the hash, as many as the rows ask for, and offset by the ranges before, so that no task holds all of them."""
+    digits = 2
+    n = df.count()
+    while n > RANGE_ROWS * 16**digits:
+        digits += 1
+    h = df.withColumn("_h", F.md5(F.concat_ws("|", F.lit(seed), F.col(key)))).withColumn("_b", F.substring("_h", 1, digits))
     sizes = h.groupBy("_b").agg(F.count("*").alias("_n"))
-    w = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # 256 rows at most
+    w = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
     before = sizes.select("_b", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
     ranked = F.row_number().over(Window.partitionBy("_b").orderBy("_h", key)) + F.col("_off")
-    return h.join(F.broadcast(before), "_b").withColumn("_r", ranked).select(*df.columns, "_r", "_all")
+    return h.join(before, "_b").withColumn("_r", ranked).select(*df.columns, "_r", "_all")
 
 
 def split_exact(df: DataFrame, key: str, cuts: tuple[float, float] = (0.8, 0.9), seed: int = 42) -> DataFrame:

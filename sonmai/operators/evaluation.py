@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import html
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from ..functions.dates import comparable_value
 from ..functions.text import strip, text
 from .datasets import numbered
 
+TABLE_ROWS = 1_000_000  # 8 MB
 STATUSES = ("both_empty", "missed", "extra", "correct", "wrong")
 
 
@@ -159,13 +162,26 @@ def bootstrap_hashed(df: DataFrame, key: str, value: str, iterations: int = 200,
     """Percentile interval of the mean by resampling with hashes, the same on any engine.
 
     A place of a resample draws a row by the hash of iteration and place, so the draws are a narrow pass; rows are numbered
-    in the order of their keys' hashes.
+    in the order of their keys' hashes. Up to TABLE_ROWS values are broadcast and looked up in that pass; more are joined.
     """
     t = numbered(df.where(F.col(value).isNotNull()).select(F.col(key).alias("key"), F.col(value).cast("double").alias("v")), "key", seed)
     t = t.select(F.col("_r").alias("i"), F.col("_all").alias("n"), "v")
     draws = t.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(iterations))))
     at = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("b"), F.col("i"))), 1, 12), 16, 10).cast("long"), F.col("n")) + 1
-    picked = draws.select("b", at.alias("i")).join(t.select("i", "v"), "i")
+    rows = t.limit(TABLE_ROWS + 1).collect()
+    if len(rows) <= TABLE_ROWS:  # few values go to all tasks, which add up their draws of each iteration
+        table = np.zeros(len(rows) + 1)
+        for r in rows:
+            table[r.i] = r.v
+        shared = df.sparkSession.sparkContext.broadcast(table)
+
+        @F.pandas_udf("double")
+        def drawn(i: pd.Series) -> pd.Series:
+            return pd.Series(shared.value[i.to_numpy()])
+
+        picked = draws.select("b", drawn(at).alias("v"))
+    else:
+        picked = draws.select("b", at.alias("i")).join(t.select("i", "v"), "i")
     means = picked.groupBy("b").agg(F.avg("v").alias("m"))
     lo, hi = (1 - confidence) / 2, (1 + confidence) / 2
     return means.agg(F.percentile("m", F.lit(lo)).alias("lower"), F.percentile("m", F.lit(hi)).alias("upper"), F.count("*").alias("iterations"))

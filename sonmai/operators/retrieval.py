@@ -2,28 +2,48 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip, text
 
 
+_OUTER = re.compile(r"^[ \t-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+|[ \t-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+$")
+
+
+def cut_paragraphs(t: str | None, size: int, overlap: int, keep_short: bool) -> list[str]:
+    done: list[str] = []
+    parts: list[str] = []  # of the chunk at hand, and its length with line ends
+    n = 0
+    for line in (t or "").split("\n"):
+        p = _OUTER.sub("", line)
+        if not p:
+            continue
+        if parts and n + len(p) + 1 > size:
+            cur = "\n".join(parts)
+            done.append(cur)
+            tail = cur[-overlap:] if len(cur) > overlap else cur if keep_short else ""
+            parts, n = ([tail], len(tail)) if tail else ([], 0)
+        n += len(p) + bool(parts)
+        parts.append(p)
+    return [*done, "\n".join(parts)] if parts else done
+
+
 def paragraph_chunks(c: Column, size: int = 1000, overlap: int = 200, keep_short: bool = False) -> Column:
     """Paragraphs packed into chunks of at most size characters, each beginning with the end of the one before.
 
-    Where the chunk before is not longer than the overlap, it is left out (G1) or repeated whole (G2, keep_short).
+    Where the chunk before is not longer than the overlap, it is left out (G1) or repeated whole (G2, keep_short). One
+    pass over a text, in Arrow batches: a fold of built-ins would copy all chunks for each new one.
     """
-    paras = F.filter(F.transform(F.split(text(c), "\n"), strip), lambda p: p != "")
-    zero = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"))
 
-    def add(s: Column, p: Column) -> Column:
-        fits = (s["cur"] == "") | (F.length(s["cur"]) + F.length(p) + 1 <= size)
-        tail = F.when(F.length(s["cur"]) > overlap, F.right(s["cur"], F.lit(overlap))).otherwise(s["cur"] if keep_short else F.lit(""))
-        grown = F.when(s["cur"] == "", p).otherwise(F.concat(s["cur"], F.lit("\n"), p))
-        opened = F.when(tail == "", p).otherwise(F.concat(tail, F.lit("\n"), p))
-        return F.when(fits, F.struct(s["done"].alias("done"), grown.alias("cur"))).otherwise(F.struct(F.concat(s["done"], F.array(s["cur"])).alias("done"), opened.alias("cur")))
+    @F.pandas_udf("array<string>")
+    def chunks(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: cut_paragraphs(t, size, overlap, keep_short))
 
-    return F.aggregate(paras, zero, add, lambda s: F.when(s["cur"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["cur"]))))
+    return chunks(text(c))
 
 
 def chunk_rows(df: DataFrame, key: str, c: str, size: int = 1000, overlap: int = 200) -> DataFrame:
@@ -128,15 +148,17 @@ def merged_chunk_results(results: DataFrame, scalars: tuple[str, ...], lists: tu
     return results.groupBy(key).agg(*agg)
 
 
-def evidence_lines(values: DataFrame, lines: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Lines that support a value: one contains the other, or half the value's longer words stand in the line.
-
-    The join is by document; the rest is a predicate on the few lines of one.
-    """
-    v, l = F.lower(strip(F.col("value"))), F.lower(strip(F.col("line")))
+def supports(value: Column, line: Column) -> Column:
+    """Whether a line supports a value: one contains the other, or half the value's longer words stand in the line."""
+    v, l = F.lower(strip(value)), F.lower(strip(line))
     long = F.filter(F.split(v, r"(?U)\s+"), lambda w: F.length(w) > 2)
     half = F.coalesce(F.try_divide(F.size(F.filter(long, lambda w: l.contains(w))), F.size(long)) >= 0.5, F.lit(False))
-    return values.join(lines, key).where((v != "") & (l != "") & (v.contains(l) | l.contains(v) | half))
+    return (v != "") & (l != "") & (v.contains(l) | l.contains(v) | half)
+
+
+def evidence_lines(values: DataFrame, lines: DataFrame, key: str = "doc_id") -> DataFrame:
+    """J13 of two tables: the join is by document, the rest a predicate on the few lines of one."""
+    return values.join(lines, key).where(supports(F.col("value"), F.col("line")))
 
 
 def joined_lines(lines: DataFrame, keys: tuple[str, ...], order: str, c: str = "text", sep: str = "\n") -> DataFrame:

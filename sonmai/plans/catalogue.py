@@ -16,7 +16,7 @@ from ..operators import datasets as S
 from ..operators import evaluation as E
 from ..operators import governance as G
 from ..operators import retrieval as R
-from ..session import shared_folder, table
+from ..session import shared_folder, spread, table
 from ..streaming import logs as LOGS
 
 QUERIES: dict = {}
@@ -76,7 +76,7 @@ def _iso(c: str) -> str:
 @query(f"""SELECT lang, source, count(*) AS n_docs, CAST(sum(length(x)) AS BIGINT) AS n_chars, CAST(sum(length(x) - length(replace(x, ' ', '')) + 1) AS BIGINT) AS n_words
     FROM (SELECT lang, source, {_fold('text')} AS x FROM documents) WHERE x <> '' GROUP BY lang, source""")
 def corpus_profile(spark, d):
-    t = table(spark, d, "documents").select("lang", "source", T.case_fold(F.col("text")).alias("x")).where("x <> ''")
+    t = spread(table(spark, d, "documents").select("lang", "source", "text")).select("lang", "source", T.case_fold(F.col("text")).alias("x")).where("x <> ''")
     return t.groupBy("lang", "source").agg(F.count("*").alias("n_docs"), F.sum(F.length("x")).alias("n_chars"), F.sum(F.size(F.split("x", " "))).cast("long").alias("n_words"))
 
 
@@ -87,7 +87,7 @@ def norm_ws(spark, d):
 
 @query(f"SELECT doc_id, md5({_punct('text')}) AS h FROM documents")
 def norm_punct(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.md5(T.plain_punctuation(F.col("text"))).alias("h"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.md5(T.plain_punctuation(F.col("text"))).alias("h"))
 
 
 @query(f"SELECT label_id, {_fold('extraction.trich_yeu')} AS folded FROM bench_labels")
@@ -203,7 +203,7 @@ def regex_extract(spark, d):
 @query()
 def extract_fields(spark, d):
     """Search, enrichment from the text, validation and header override in their order."""
-    t = table(spark, d, "bench_labels").select("label_id", F.explode(F.array(T.domain_corrections(T.postprocess(F.col("full_text"))))).alias("x"))
+    t = spread(table(spark, d, "bench_labels").select("label_id", "full_text")).select("label_id", F.explode(F.array(T.domain_corrections(T.postprocess(F.col("full_text"))))).alias("x"))
     # a generator after each stage keeps the optimizer from merging the stages, which would compute each field's rules once per use
     for stage in (lambda e, x: X.by_search(x), X.enriched, lambda e, x: X.validated(e), X.header_override):
         e = F.col("e") if "e" in t.columns else None
@@ -268,7 +268,7 @@ _LINES = """SELECT label_id AS doc_id, 1 AS page, CAST(i AS INTEGER) AS line_no,
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
     """Lines of labels with boxes that follow from their numbers."""
-    t = table(spark, d, "bench_labels").where("full_text IS NOT NULL").select(F.col("label_id").alias("doc_id"), F.posexplode(F.split("full_text", "\n")).alias("i", "text"))
+    t = spread(table(spark, d, "bench_labels").where("full_text IS NOT NULL").select("label_id", "full_text")).select(F.col("label_id").alias("doc_id"), F.posexplode(F.split("full_text", "\n")).alias("i", "text"))
     i = F.col("i") + 1
     t = t.select("doc_id", F.lit(1).alias("page"), i.alias("line_no"), "text", (40 + (i * 37) % 300).cast("int").alias("x1"), (30 + 28 * F.floor((i - 1) / 2) + (i % 2) * 3).cast("int").alias("y1"))
     return t.withColumns({"x2": F.col("x1") + 200, "y2": F.col("y1") + 22})
@@ -769,7 +769,7 @@ def conversations(spark, d):
 
 @query()
 def chunk_paragraphs(spark, d):
-    return R.chunk_rows(table(spark, d, "documents"), "doc_id", "text")
+    return R.chunk_rows(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 @query()
@@ -842,8 +842,9 @@ def merge_chunks(spark, d):
     SELECT doc_id, count(*) AS n_lines, CAST(min(line_no) AS INTEGER) AS first_line FROM (SELECT v.doc_id, line_no, v, l, list_filter(regexp_split_to_array(v, '{WS}+'), lambda w: length(w) > 2) AS ws FROM v JOIN l USING (doc_id))
     WHERE v <> '' AND l <> '' AND (contains(v, l) OR contains(l, v) OR (len(ws) > 0 AND len(list_filter(ws, lambda w: contains(l, w))) / len(ws)::DOUBLE >= 0.5)) GROUP BY doc_id""")
 def evidence_theta_join(spark, d):
-    v = table(spark, d, "bench_labels").where("extraction.trich_yeu IS NOT NULL").select(F.col("label_id").alias("doc_id"), F.col("extraction.trich_yeu").alias("value"))
-    t = R.evidence_lines(v, _lines(spark, d).select("doc_id", "line_no", F.col("text").alias("line")))
+    t = spread(table(spark, d, "bench_labels").where("extraction.trich_yeu IS NOT NULL AND full_text IS NOT NULL").select("label_id", F.col("extraction.trich_yeu").alias("value"), "full_text"))
+    t = t.select(F.col("label_id").alias("doc_id"), "value", F.posexplode(F.split("full_text", "\n")).alias("i", "line")).withColumn("line_no", F.col("i") + 1)
+    t = t.where(R.supports(F.col("value"), F.col("line")))  # value and lines come from one row, so there is nothing to join
     return t.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.min("line_no").alias("first_line"))
 
 

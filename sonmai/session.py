@@ -26,6 +26,12 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """For work that takes long for its bytes: a table of fewer splits than half the cores, as single small files are, goes to all cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() * 2 > cores else df.repartition(cores)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the one spark.checkpoint.dir names, deleted when the driver ends; where that is unset, in local runs, one of our own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
