@@ -1,5 +1,7 @@
 """Golden values of the column functions."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,8 +46,43 @@ def test_truncation(one):
 
 def test_body_markers(one):
     body = "x" * 400
-    assert one(T.body_markers(F.col("x")), x=body + "\nPHỤ LỤC\n" + "y" * 600).startswith("[BODY]\n" + body)
-    assert one(T.body_markers(F.col("x")), x="ngắn\nPHỤ LỤC\ny") == "ngắn\nPHỤ LỤC\ny"
+    mark = lambda t: one(T.body_markers(F.col("x")), x=t)
+    assert mark(body + "\nPHỤ LỤC\n" + "y" * 600) == T.BODY[0] + body + T.BODY[1]
+    assert mark("ngắn\nPHỤ LỤC\ny") == "ngắn\nPHỤ LỤC\ny"
+    assert mark("PHỤ LỤC\n" + body) == "PHỤ LỤC\n" + body and mark(None) is None
+    receivers = body + "\nNơi  nhận:\n- Như trên\n- Lưu: VT" + "z" * 900
+    assert mark(receivers) == T.BODY[0] + receivers[: receivers.index("Lưu:") + 4 + 200] + T.BODY[1]
+    unfiled = body + "\nNơi nhận: A" + "z" * 900
+    assert mark(unfiled) == T.BODY[0] + unfiled[: unfiled.index("nhận:") + 5 + 500] + T.BODY[1]
+
+
+@pytest.mark.parametrize("text, want", [("Hà Nội, ngày 5/6/2021", "5/6/2021"), ("Ngày 7 tháng 8 năm 2020", "7/8/2020"), ("a\nb 1/2/2019", "1/2/2019"), ("x\n" * 30 + "1/2/2019", ""), ("", "")])
+def test_label_date(one, text, want):
+    assert one(D.label_date(F.col("x")), x=text) == want
+
+
+def test_word_edits_equal_the_matrix():
+    rng = random.Random(1)
+    for _ in range(500):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 80 if rng.random() < 0.2 else 9))] for _ in range(2))
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        assert M.word_edits(a, b) == row[-1]
+
+
+def test_wer_of_any_length(one):
+    assert one(M.wer(F.col("t"), F.col("p")), t=None, p="") == 0 and one(M.wer(F.col("t"), F.col("p")), t=" ", p="a") == 1
+    t = " ".join(map(str, range(70_000)))
+    assert one(M.wer(F.col("t"), F.col("p")), t=t, p=t.replace(" 5 ", " x y ")) == pytest.approx(2 / 70_000)
+
+
+def test_reply_dates_and_parts(one):
+    r = one(U.reply_fields(F.col("x")), x='{"a": {"số_hiệu": {"0": "1 2/QĐ"}}, "date": "2024-02-01", "bản": {"loại": "Thông báo"}}')
+    assert (r.so_hieu, r.ngay_ban_hanh, r.loai_van_ban, r.nguoi_ky) == ("12/QĐ", "01/02/2024", "Thông báo", "")
 
 
 @pytest.mark.parametrize(

@@ -202,3 +202,39 @@ def test_measures_are_symmetric_and_bounded(spark, values):
     for f in (M.token_f1, M.char_similarity, M.token_f1_set):
         for r in t.select(f(a, b).alias("x"), f(b, a).alias("y")).collect():
             assert r.x == pytest.approx(r.y) and 0 <= r.x <= 1
+
+
+def test_messages_are_compared_over_the_seams_of_days(spark):
+    rows = [(1, 7, "a", "2024-01-01 10:00:00"), (2, 7, "a", "2024-01-01 11:00:00"), (3, 7, "a", "2024-01-03 00:00:00"), (4, 7, "b", "2024-01-03 01:00:00"), (5, 7, None, "2024-01-04 01:00:00"), (6, 7, None, "2024-01-05 01:00:00"), (7, 8, None, None), (8, 8, "a", "2024-01-01 10:00:00")]
+    t = spark.createDataFrame([r for r in rows for _ in range(2)], "log_id long, document_id long, message string, at string").withColumn("created_at", F.to_timestamp("at")).drop("at")
+    assert sorted(r.log_id for r in C.without_repeated_messages(t).collect()) == [1, 4, 5, 7, 8]
+
+
+def test_chunks_by_hand():
+    from sonmai.operators.retrieval import cut_paragraphs
+
+    assert cut_paragraphs("aaaa\n\n bbbb \ncccc", 9, 2, False) == ["aaaa\nbbbb", "bb\ncccc"]
+    assert cut_paragraphs("aa\nbbbbbbbb\nc", 9, 4, False) == ["aa", "bbbbbbbb", "bbbb\nc"] and cut_paragraphs("aa\nbbbbbbbb\nc", 9, 4, True) == ["aa", "aa\nbbbbbbbb", "bbbb\nc"]
+    assert cut_paragraphs(None, 9, 2, False) == [] and cut_paragraphs(" \n", 9, 2, True) == []
+
+
+def test_named_files_and_versions(spark, tmp_path):
+    from sonmai.operators.retrieval import Collection
+    from sonmai.sources import files
+
+    t = spark.createDataFrame([("a/x.txt", "một"), ("a/y.txt", None), ("b/x.txt", "")], "name string, content string")
+    assert {(r.name, r.length) for r in files.write_named(t, str(tmp_path)).collect()} == {("a/x.txt", 5), ("a/y.txt", 0), ("b/x.txt", 0)}
+    assert (tmp_path / "a/x.txt").read_text() == "một"
+    c = Collection(spark, str(tmp_path / "v"))
+    c.put(spark.createDataFrame([("1", 1), ("2", 1), ("3", 2)], "chunk_id string, doc_id long"))
+    c.put(spark.createDataFrame([("2", 5)], "chunk_id string, doc_id long"))
+    c.drop(2)
+    assert {(r.chunk_id, r.doc_id) for r in c.read().collect()} == {("1", 1), ("2", 5)} and c.count().collect()[0].n == 2
+
+
+def test_bootstrap_is_the_same_joined(spark, monkeypatch):
+    t = spark.range(300).select(F.col("id"), (F.col("id") % 17).cast("double").alias("v"))
+    a = E.bootstrap_hashed(t, "id", "v", 20).collect()
+    monkeypatch.setattr(E, "TABLE_ROWS", 10)
+    b = E.bootstrap_hashed(t, "id", "v", 20).collect()
+    assert a[0].lower == pytest.approx(b[0].lower) and a[0].upper == pytest.approx(b[0].upper)
