@@ -234,7 +234,7 @@ def canonical_map(df: DataFrame, key: str, fields: dict[str, tuple[str, list, st
 
 def reference_rows(ref: DataFrame, key: str, name: str, short: str) -> list[tuple[int, str, str | None]]:
     """The rows of a reference list, which the driver cuts into dictionaries."""
-    return [tuple(r) for r in ref.select(key, name, short).toLocalIterator()]
+    return [tuple(r) for r in ref.select(key, name, short).collect()]
 
 
 def misses(mapped: DataFrame) -> DataFrame:

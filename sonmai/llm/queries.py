@@ -10,9 +10,14 @@ from pyspark.sql import functions as F
 from . import abuse, bpe, canonical, chunking, confusables, evalleak, neardup, ocr_repair, splitleak, variants
 
 
+def narrow(spark: SparkSession, directory: str, name: str) -> DataFrame:
+    """A table as it lies, for work on a few short columns."""
+    return spark.read.parquet(f"{directory.rstrip('/')}/{name}.parquet")
+
+
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """A table; of fewer splits than half the cores, as single small files are, it is spread over all."""
-    t = spark.read.parquet(f"{directory.rstrip('/')}/{name}.parquet")
+    t = narrow(spark, directory, name)
     cores = spark.sparkContext.defaultParallelism
     return t if t.rdd.getNumPartitions() * 2 > cores else t.repartition(cores)
 
@@ -47,12 +52,12 @@ def p3_repaired(spark, d):
 
 
 def p4_found(spark, d):
-    return splitleak.found(table(spark, d, "manifest_entries"), table(spark, d, "bench_labels"))
+    return splitleak.found(narrow(spark, d, "manifest_entries"), table(spark, d, "bench_labels"))
 
 
 def p4_report(spark, d):
     """Overlapping val and test entries per split and source type."""
-    return splitleak.report(table(spark, d, "manifest_entries"), table(spark, d, "bench_labels"))
+    return splitleak.report(narrow(spark, d, "manifest_entries"), table(spark, d, "bench_labels"))
 
 
 _FIELDS = {"full_text": "full_text", "trich_yeu": "extraction.trich_yeu"}
@@ -75,10 +80,10 @@ def p5_groups(spark, d):
 
 
 def _canonical(spark, d):
-    types = canonical.reference_rows(table(spark, d, "doc_type_ref"), "type_id", "name", "code")
-    agencies = canonical.reference_rows(table(spark, d, "agency_ref"), "agency_id", "name", "short_name")
+    types = canonical.reference_rows(narrow(spark, d, "doc_type_ref"), "type_id", "name", "code")
+    agencies = canonical.reference_rows(narrow(spark, d, "agency_ref"), "agency_id", "name", "short_name")
     fields = {"loai_van_ban": ("extraction.loai_van_ban", types, "type"), "co_quan_ban_hanh": ("extraction.co_quan_ban_hanh", agencies, "agency")}
-    return canonical.canonical_map(table(spark, d, "bench_labels"), "label_id", fields)
+    return canonical.canonical_map(narrow(spark, d, "bench_labels"), "label_id", fields)
 
 
 def p6_found(spark, d):
@@ -91,8 +96,8 @@ def p6_misses(spark, d):
 
 
 def _entities(spark, d):
-    known = table(spark, d, "agency_ref").select(F.col("name").alias("value"))
-    return variants.entities(table(spark, d, "bench_labels"), {"co_quan_ban_hanh": "extraction.co_quan_ban_hanh"}, {"nguoi_ky": "extraction.nguoi_ky"}, known)
+    known = narrow(spark, d, "agency_ref").select(F.col("name").alias("value"))
+    return variants.entities(narrow(spark, d, "bench_labels"), {"co_quan_ban_hanh": "extraction.co_quan_ban_hanh"}, {"nguoi_ky": "extraction.nguoi_ky"}, known)
 
 
 def p7_found(spark, d):
@@ -121,31 +126,31 @@ def p8_roundtrip(spark, d):
 
 
 def p9_found(spark, d):
-    return evalleak.found(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return evalleak.found(table(spark, d, "documents"), narrow(spark, d, "eval_items"))
 
 
 def p9_near(spark, d):
     """Leaks with at most one word of a window changed."""
-    return evalleak.near(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return evalleak.near(table(spark, d, "documents"), narrow(spark, d, "eval_items"))
 
 
 def p9_report(spark, d):
     """Leaked items and documents per evaluation split, task and source."""
-    return evalleak.report(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return evalleak.report(table(spark, d, "documents"), narrow(spark, d, "eval_items"))
 
 
 def p10_found(spark, d):
-    return abuse.found(table(spark, d, "documents"), table(spark, d, "review_labels"))
+    return abuse.found(table(spark, d, "documents"), narrow(spark, d, "review_labels"))
 
 
 def p10_scores(spark, d):
     """A score for each category of every document."""
-    return abuse.scores(table(spark, d, "documents"), table(spark, d, "review_labels"))
+    return abuse.scores(table(spark, d, "documents"), narrow(spark, d, "review_labels"))
 
 
 def p10_rates(spark, d):
     """Rates of flagged documents per source."""
-    return abuse.rates(table(spark, d, "documents"), table(spark, d, "review_labels"))
+    return abuse.rates(table(spark, d, "documents"), narrow(spark, d, "review_labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
