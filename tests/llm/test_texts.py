@@ -151,6 +151,7 @@ def test_encoding_equals_the_library_and_decodes(spark):
         assert list(r.ids) == lib.encode_ordinary(texts[r.doc_id] or "")
     assert all(r.decoded == (texts[r.doc_id] or "") for r in bpe.decode(enc).collect())
     assert bpe.encode(t.where("false")).count() == 0
+    assert [list(r.ids) for r in bpe.encode(t.where("text IS NULL OR text = ''")).collect()] == [[], []]
 
 
 @settings(max_examples=100, deadline=None)
