@@ -326,3 +326,23 @@ def newest_state_stream(spark, d):
 
     LOGS.latest_in_batches(LOGS.read_logs(spark, f"{d.rstrip('/')}/processing_logs.parquet").where("created_at IS NOT NULL"), merge, f"{at}/checkpoint").awaitTermination()
     return spark.read.parquet(done[-1]).select("document_id", "stage", "status")
+
+
+@query("SELECT a.filename AS filename, count(*) AS n FROM upload_files a JOIN upload_files b ON a.filename = b.filename WHERE lower(a.file_type) IN ('jpg', 'png', 'jpeg') AND b.doc_id % 2 = 0 GROUP BY a.filename")
+def paired_images(spark, d):
+    """Clean images with the outputs of the same name, those of every second upload."""
+    u = table(spark, d, "upload_files")
+    clean, made = u.where("lower(file_type) IN ('jpg', 'png', 'jpeg')").select("filename"), u.where("doc_id % 2 = 0").select("filename")
+    return clean.join(made, "filename").groupBy("filename").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT kind, count(*) AS n, CAST(sum(octet_length(encode(content))) AS BIGINT) AS bytes FROM (SELECT unnest(['txt', 'json', 'meta']) AS kind, unnest([text, '{"task":"' || task || '"}', '{"id":' || item_id || '}']) AS content FROM eval_items) GROUP BY kind""")
+def stage_export(spark, d):
+    """The text, the record and the facts of each item as files of its own folder."""
+    at = shared_folder(spark, "stages")
+    i = F.col("item_id").cast("string")
+    part = lambda name, c: F.struct(F.concat(i, F.lit("/" + name)).alias("name"), c.alias("content"))
+    parts = F.array(part("text.txt", F.col("text")), part("record.json", F.to_json(F.struct("task"))), part("facts.meta", F.to_json(F.struct(F.col("item_id").alias("id")))))
+    FILES.write_named(table(spark, d, "eval_items").select(F.inline(parts)), at).agg(F.sum("length")).collect()
+    t = FILES.scan(spark, at, ("txt", "json", "meta"), content=False)
+    return t.groupBy(F.regexp_extract("path", r"\.([^.]+)$", 1).alias("kind")).agg(F.count("*").alias("n"), F.sum("length").alias("bytes"))
