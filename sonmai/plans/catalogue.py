@@ -602,7 +602,7 @@ def wer(spark, d):
 
 @query()
 def difflib_similarity(spark, d):
-    return _pairs(spark, d).where("field = 'trich_yeu'").select("doc", U.difflib_ratio(F.col("predicted"), F.col("ground_truth")).alias("ratio"))
+    return _pairs(spark, d).select("doc", "field", U.difflib_ratio(F.col("predicted"), F.col("ground_truth")).alias("ratio"))
 
 
 @query("SELECT event_type, count(*) AS n, round(avg(CAST(json_extract(props, '$.k') AS DOUBLE)), 6) AS mean_k FROM events GROUP BY event_type")
@@ -748,14 +748,9 @@ def composed_documents(spark, d):
     return clean.unionByName(noisy)
 
 
-@query("""SELECT label_id, '### Instruction:' || chr(10) || 'Trích xuất.' || chr(10) || chr(10) || '### Input:' || chr(10) || coalesce(left(full_text, 200), '') || chr(10) || chr(10) || '### Response:' || chr(10) || coalesce(extraction.so_hieu, '') || '</s>' AS row_text FROM bench_labels""")
-def training_text(spark, d):
-    return table(spark, d, "bench_labels").select("label_id", S.training_text(F.lit("Trích xuất."), F.left("full_text", F.lit(200)), F.col("extraction.so_hieu")).alias("row_text"))
-
-
 @query("""SELECT label_id, '### Instruction:' || chr(10) || 'Trích xuất.' || chr(10) || chr(10) || '### Input:' || chr(10) || coalesce(full_text, '') || chr(10) || chr(10) || '### Response:' || chr(10) || coalesce(extraction.so_hieu, '') || '</s>' AS row_text FROM bench_labels""")
-def training_text_whole(spark, d):
-    """C9 with the whole input, as the reference has it; training_text and its SQL keep 200 characters."""
+def training_text(spark, d):
+    """C9 with the whole input."""
     return table(spark, d, "bench_labels").select("label_id", S.training_text(F.lit("Trích xuất."), F.col("full_text"), F.col("extraction.so_hieu")).alias("row_text"))
 
 
@@ -820,15 +815,17 @@ def cosine_topk_filtered_all(spark, d):
     return _nearest_all(spark, d, 5, F.col("label") == 1).withColumn("distance", F.round("distance", 6))
 
 
-@query("SELECT label_id, line_no, regexp_replace(text || chr(10) || '[Đoạn ' || line_no || '/' || n || ']', '', '') AS marked FROM (SELECT doc_id AS label_id, line_no, text, count(*) OVER (PARTITION BY doc_id) AS n FROM (" + _LINES + ")) WHERE line_no = 1")
+@query("SELECT label_id, line_no, regexp_replace(text || chr(10) || '[Đoạn ' || line_no || '/' || n || ']', '', '') AS marked FROM (SELECT doc_id AS label_id, line_no, text, count(*) OVER (PARTITION BY doc_id) AS n FROM (" + _LINES + "))")
 def annotated_chunks(spark, d):
-    t = _lines(spark, d).withColumn("n", F.count("*").over(Window.partitionBy("doc_id"))).where("line_no = 1")
-    return t.select(F.col("doc_id").alias("label_id"), "line_no", R.annotated(F.col("text"), F.col("line_no") - 1, F.col("n")).alias("marked"))
+    """G7 of every line, taken as a chunk."""
+    t = table(spark, d, "bench_labels").where("full_text IS NOT NULL").select("label_id", F.split("full_text", "\n").alias("l"))
+    t = t.select("label_id", F.size("l").alias("n"), F.posexplode("l").alias("i", "text"))
+    return t.select("label_id", (F.col("i") + 1).alias("line_no"), R.annotated(F.col("text"), F.col("i"), F.col("n")).alias("marked"))
 
 
 @query()
 def annotated_chunks_whole(spark, d):
-    """G7 of every chunk of every text; annotated_chunks and its SQL have the first lines only."""
+    """G7 of every chunk of every text."""
     t = R.chunk_rows(table(spark, d, "documents"), "doc_id", "text")
     return t.select("chunk_id", "doc_id", "chunk_index", R.annotated(F.col("text"), F.col("chunk_index"), F.col("total_chunks")).alias("marked"))
 

@@ -19,7 +19,7 @@ def test_composed_and_training_texts_hold_the_whole_text(spark):
     assert labels.where("length(t) > 500").count() > 0
     composed = catalogue.QUERIES["composed_documents"](spark, D).where("variant = 'clean'")
     assert composed.join(labels, "label_id").where("NOT contains(text, t)").count() == 0
-    rows = catalogue.QUERIES["training_text_whole"](spark, D)
+    rows = catalogue.QUERIES["training_text"](spark, D)
     assert rows.join(labels, "label_id").where("NOT contains(row_text, t)").count() == 0
 
 
