@@ -169,11 +169,11 @@ def batch_summaries(spark, d):
 
 @query("SELECT agency_id, name, short_name FROM agency_ref")
 def database_table(spark, d):
-    """A table of a relational data base, written and read in ranges of its key (the one in Spark's own class path, in memory)."""
-    url = "jdbc:derby:memory:sonmai;create=true"
-    t = table(spark, d, "agency_ref")
-    t.write.mode("overwrite").format("jdbc").option("url", url).option("dbtable", "agencies").option("createTableColumnTypes", "name varchar(400), short_name varchar(400)").save()
-    return FILES.jdbc(spark, url, "agencies", "agency_id", 4, (1, 160)).select(*[F.col(c).alias(c.lower()) for c in ("agency_id", "name", "short_name")])
+    """A table of a relational data base, written and read in ranges of its key (an SQLite file in the shared folder, as executors have no memory in common)."""
+    at = f"{shared_folder(spark, 'database')}/agencies.sqlite"
+    t = table(spark, d, "agency_ref").select("agency_id", "name", "short_name")
+    FILES.write_database(t, at, "agencies", "agency_id")
+    return FILES.database(spark, at, "agencies", "agency_id", "agency_id long, name string, short_name string")
 
 
 @query("""SELECT label, count(*) AS n FROM (SELECT CASE WHEN vec_id % 10 = 0 THEN -1 ELSE label END AS label FROM embeddings) WHERE label <> 2 GROUP BY label""")

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import json
+import os
+import sqlite3
 from collections.abc import Callable, Iterator
+from contextlib import closing
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +21,7 @@ SUFFIXES = ("pdf", "png", "jpg", "jpeg", "tif", "tiff", "bmp")
 MAGIC = {"25504446": "pdf", "89504E470D0A1A0A": "png", "FFD8FF": "jpg", "49492A00": "tiff", "4D4D002A": "tiff", "424D": "bmp"}
 MIME = {"pdf": ("application/pdf",), "png": ("image/png",), "jpg": ("image/jpeg", "image/jpg"), "tiff": ("image/tiff",), "bmp": ("image/bmp", "image/x-ms-bmp")}
 MOST_BYTES = 20 * 1024 * 1024
+_SQLITE = {"tinyint": ("INTEGER", pa.int8()), "smallint": ("INTEGER", pa.int16()), "int": ("INTEGER", pa.int32()), "bigint": ("INTEGER", pa.int64()), "float": ("REAL", pa.float32()), "double": ("REAL", pa.float64()), "string": ("TEXT", pa.string()), "binary": ("BLOB", pa.binary())}
 
 
 def scan(spark: SparkSession, directory: str, suffixes: tuple[str, ...] = SUFFIXES, content: bool = True) -> DataFrame:
@@ -72,6 +77,72 @@ def jdbc(spark: SparkSession, url: str, name: str, key: str | None = None, parts
     return r.load()
 
 
+def _sqlite(path: str, write: bool = False) -> closing:
+    at = path.removeprefix("file:")
+    at = "/" + at.lstrip("/") if at != path else path
+    if "://" in at or not at.startswith("/"):
+        raise ValueError(f"not a folder that all executors have mounted: {path}")
+    if write:
+        os.makedirs(os.path.dirname(at), exist_ok=True)
+    return closing(sqlite3.connect(at, timeout=3600, isolation_level=None))
+
+
+def _quoted(name: str) -> str:
+    return '"' + name.replace('"', '""') + '"'
+
+
+def write_database(df: DataFrame, path: str, name: str, key: str) -> None:
+    """A new table, with an index on its key, in the SQLite file at path, which lies where all executors reach it. The
+    rows of a task are added in one transaction, and only once however often the task is run."""
+    table, done = _quoted(name), _quoted(name + "_written")
+    columns = ", ".join(f"{_quoted(f.name)} {_SQLITE[f.dataType.simpleString()][0]}" for f in df.schema)
+    with _sqlite(path, True) as c:
+        c.execute(f"DROP TABLE IF EXISTS {table}")
+        c.execute(f"DROP TABLE IF EXISTS {done}")
+        c.execute(f"CREATE TABLE {table} ({columns})")
+        c.execute(f"CREATE TABLE {done} (part INTEGER PRIMARY KEY)")
+    marks = ", ".join("?" * len(df.columns))
+
+    def add(batches):
+        part, n = TaskContext.get().partitionId(), 0
+        with _sqlite(path) as c:
+            c.execute("BEGIN IMMEDIATE")
+            if not c.execute(f"INSERT OR IGNORE INTO {done} VALUES (?)", (part,)).rowcount:
+                c.execute("ROLLBACK")
+                return
+            for b in batches:
+                c.executemany(f"INSERT INTO {table} VALUES ({marks})", zip(*(x.to_pylist() for x in b.columns)))
+                n += b.num_rows
+            c.execute("COMMIT")
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    df.mapInArrow(add, "n long").collect()
+    with _sqlite(path) as c:
+        c.execute(f"DROP TABLE {done}")
+        c.execute(f"CREATE INDEX {_quoted(name + '_key')} ON {table} ({_quoted(key)})")
+
+
+def database(spark: SparkSession, path: str, name: str, key: str, schema: str, parts: int = 4) -> DataFrame:
+    """The table that write_database() wrote, read in as many ranges of its whole-number key; rows without a key are in the first."""
+    table, key = _quoted(name), _quoted(key)
+    fields = spark.createDataFrame([], schema).schema
+    with _sqlite(path) as c:
+        least, most = c.execute(f"SELECT coalesce(min({key}), 0), coalesce(max({key}), 0) FROM {table}").fetchone()
+    cuts = [least + (most - least + 1) * i // parts for i in range(parts + 1)]
+    kinds = pa.schema([(f.name, _SQLITE[f.dataType.simpleString()][1]) for f in fields])
+    names = ", ".join(_quoted(f.name) for f in fields)
+
+    def read(batches):
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                with _sqlite(path) as c:
+                    rows = c.execute(f"SELECT {names} FROM {table} WHERE {key} BETWEEN ? AND ?" + (f" OR {key} IS NULL" if i == 0 else ""), (cuts[i], cuts[i + 1] - 1))
+                    while got := rows.fetchmany(10_000):
+                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*got), kinds.types)], schema=kinds)
+
+    return spark.range(0, parts, 1, parts).mapInArrow(read, fields)
+
+
 def file_kind(content: Column) -> Column:
     """The kind of a file by how it begins; NULL for others."""
     head = F.hex(F.substring(content, 1, 8))
