@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .jaccard import block_pairs, close, exact, packed_blocks, sides, sums
+from .jaccard import block_pairs, exact, meet, packed_blocks, sides, sums
 from .shingles import feature_sets, frequent_features
 
 JACCARD = 0.55
@@ -83,25 +83,22 @@ def candidates(sets: DataFrame, known: np.ndarray, share: np.ndarray, jaccard: f
         return f, d, p, np.stack([unit, rest, common], axis=1).astype(np.float64).view(np.dtype((np.void, 24))).ravel()
 
     def meeting(x, y):
-        (nx, fx, dx, bx), (ny, fy, dy, by) = ((z[1], z[3], z[4], z[5]) for z in (x, y))
-        (ux, rx, gx), (uy, ry, gy) = (z[2].reshape(-1, 3).T for z in (x, y))
-        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        if not len(fx) or not len(fy):
-            return a[0], b[0]
-        w = weights(fx, *table.value) / ux[dx]
-        for first, last, total in sums(nx, len(ny), (fx, dx), (fy, dy), w):
-            total /= uy
+        """Of the pairs that share enough features for their sizes, those whose products and residual norms reach the floor."""
+        i, j = meet(x[0], y[0], jaccard)
+        if not len(i):
+            return i, j
+        (of, nx, fx, dx, ux, rx, gx), (on, ny, fy, dy, uy, ry, gy) = within(x, np.unique(i)), within(y, np.unique(j))
+        a, b = [i[:0]], [j[:0]]
+        i, j = np.searchsorted(of, i), np.searchsorted(on, j)
+        order = np.argsort(i, kind="stable")
+        i, j = i[order], j[order]
+        for first, last, total in sums(nx, len(ny), (fx, dx), (fy, dy), weights(fx, *table.value) / ux[dx]):
+            part = slice(*np.searchsorted(i, [first, last]))
+            p, q = i[part], j[part]
             # behind the shorter lists of the two lies at most the one's residual norm times the other's behind CUT
-            need = least - np.maximum(rx[first:last].max() * gy, gx[first:last].max() * ry) - 1e-6
-            small, large = nx[first], nx[last - 1]
-            need[(ny < jaccard * small - 1e-6) | (large < jaccard * ny - 1e-6)] = np.inf
-            i, j = np.nonzero((total >= need) & (total > 0))
-            got, i = total[i, j], i + first
-            good = (got >= least - np.maximum(rx[i] * gy[j], gx[i] * ry[j]) - 1e-6) & (np.minimum(nx[i], ny[j]) >= jaccard * np.maximum(nx[i], ny[j]) - 1e-6)
-            i, j = i[good], j[good]
-            good = close(bx, by, nx, ny, i, j, jaccard)
-            a.append(i[good])
-            b.append(j[good])
+            good = total[p - first, q] / uy[q] >= least - np.maximum(rx[p] * gy[q], gx[p] * ry[q]) - 1e-6
+            a.append(of[p[good]])
+            b.append(on[q[good]])
         return np.concatenate(a), np.concatenate(b)
 
     left, right = sides(packed_blocks(sets, prefix, (TRAIN, EVAL)))
@@ -109,6 +106,16 @@ def candidates(sets: DataFrame, known: np.ndarray, share: np.ndarray, jaccard: f
     return block_pairs(two, meeting)
 
 
+def within(block: tuple, some: np.ndarray) -> tuple:
+    """(some; of these vectors of a block: sizes; features, sorted; the vector of each, as a place in some; norms, residual norms, those behind CUT)."""
+    (n, features, _, number, d, *_), _, r = block
+    at = np.full(len(n), -1, np.int32)
+    at[some] = np.arange(len(some))
+    keep = np.flatnonzero(at[d] >= 0)
+    keep = keep[np.argsort(number[keep], kind="stable")]
+    return some, n[some], features[number[keep]], at[d[keep]], *r.reshape(-1, 3)[some].T
+
+
 def _clean(c: Column) -> Column:
     return F.lower(F.regexp_replace(c, r"^\s+|\s+$", ""))
 

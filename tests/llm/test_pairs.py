@@ -236,3 +236,33 @@ def test_one_word_items_and_shared_windows():
     x, o = np.concatenate(texts), np.cumsum([0, *map(len, texts)])
     assert {m[:3] for m in it.matches(x, o)} == {(1, 1, 0), (2, 1, 0), (2, 2, 0), (2, 3, 0)}
     assert {m[:3] for m in it.matches(n("hello"), np.array([0, 0, 1]))} == {(1, 1, 0)}
+
+
+def test_blocks_meet_by_classes_of_sizes():
+    """All pairs at the threshold, whatever their sizes, with several classes in a block, and no more of the prefixes counted than the sizes need."""
+    rng = np.random.default_rng(3)
+    base = [np.unique(rng.integers(0, 4000, int(n))).astype(np.int32) for n in rng.integers(1, 700, 500)]
+    near = [np.unique(np.r_[rng.permutation(s)[: max(1, int(len(s) * keep))], rng.integers(4000, 9000, int(len(s) * more))]).astype(np.int32) for s, keep, more in zip(base, rng.uniform(0.5, 1, 500), rng.uniform(0, 0.6, 500))]
+    known, counts = known_of(base + near)
+
+    def block(sets):
+        sets = sorted(sets, key=len)
+        n, v = np.array([len(s) for s in sets]), np.concatenate(sets)
+        f, d = jaccard.prefixes(v, np.r_[0, np.cumsum(n)], known, counts, 0.55)
+        q, order = np.concatenate([np.arange(k) for k in np.bincount(d, minlength=len(n))]), np.argsort(f, kind="stable")
+        return sets, jaccard.opened(n, f[order], d[order], q[order].astype(np.uint16), jaccard.bitmaps(v, n))
+
+    (x, bx), (y, by) = block(base), block(near)
+    assert len(bx[2]) > 2
+    want = {(i, j) for i, s in enumerate(x) for j, r in enumerate(y) if (c := len(np.intersect1d(s, r, True))) >= 0.55 * (len(s) + len(r) - c)}
+    got = set(zip(*(z.tolist() for z in jaccard.meet(bx, by, 0.55))))
+    assert len(want) > 100 and want <= got
+
+
+def test_equal_texts_of_all_tasks_meet_once(labels, monkeypatch):
+    rng = random.Random(31)
+    texts = [document(rng, 60) for _ in range(20)]
+    rows = [(i + 1, texts[i % 20]) for i in range(120)]
+    met = []
+    monkeypatch.setattr(neardup, "candidates", lambda sets, *a: met.append(sets.count()) or jaccard.candidates(sets, *a))
+    assert pairs(labels(rows).repartition(6)) == brute(rows) and met == [20]
